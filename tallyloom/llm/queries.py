@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import exact_dedup, mixing
+from tallyloom.llm import bpe, exact_dedup, mixing, pii, webp
 from tallyloom.llm.common import table
 
 
@@ -24,14 +25,30 @@ FROM d
 """
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.round_trip(docs, bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.digests(webp.store(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_byte_bpe": op2_byte_bpe,
         "op4_source_mixing": op4_source_mixing,
+        "op7_personal_data": op7_personal_data,
+        "op9_lossless_webp": op9_lossless_webp,
     }
 
 
