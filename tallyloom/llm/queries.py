@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, exact_dedup, mixing, pii, webp
+from tallyloom.llm import bpe, exact_dedup, mixing, pii, quality, toxicity, webp
 from tallyloom.llm.common import table
 
 
@@ -34,6 +35,16 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.scored(docs, quality.train(docs, labels))
+    return scored.select("doc_id", *quality.SCORES, (F.col("score") >= quality.KEEP).alias("kept"))
+
+
+def op6_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -47,6 +58,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_byte_bpe": op2_byte_bpe,
         "op4_source_mixing": op4_source_mixing,
+        "op5_quality_cotraining": op5_quality_cotraining,
+        "op6_toxicity_mil": op6_toxicity_mil,
         "op7_personal_data": op7_personal_data,
         "op9_lossless_webp": op9_lossless_webp,
     }
