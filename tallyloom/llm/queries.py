@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, exact_dedup, mixing, pii, quality, toxicity, webp
+from tallyloom.llm import bpe, exact_dedup, minhash, mixing, pii, quality, toxicity, webp
 from tallyloom.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.digests(webp.store(table(spark, sf_dir, "documents")))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity_mil": op6_toxicity_mil,
         "op7_personal_data": op7_personal_data,
         "op9_lossless_webp": op9_lossless_webp,
+        "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
 
