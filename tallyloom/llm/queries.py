@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, exact_dedup, minhash, mixing, pii, quality, toxicity, webp
+from tallyloom.llm import bpe, exact_dedup, line_dedup, minhash, mixing, pii, quality, toxicity, webp
 from tallyloom.llm.common import table
 
 
@@ -31,6 +31,53 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+#: The definition itself, on strings: a block is compared by its lines, not by ranks.
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos
+  FROM documents
+), w AS (
+  SELECT doc_id, line, pos, len(regexp_extract_all(line, '[^ 	-]+')) AS words FROM l
+), s AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM w WHERE words > 0
+), x AS (
+  SELECT doc_id, seq, pos, words,
+         line AS l1, line || chr(10) || lead(line, 1) OVER o AS l2,
+         line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS l3,
+         line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o || chr(10) || lead(line, 3) OVER o AS l4,
+         words + lead(words, 1) OVER o AS w2, words + lead(words, 1) OVER o + lead(words, 2) OVER o AS w3,
+         words + lag(words, 1) OVER o AS b2, words + lag(words, 1) OVER o + lag(words, 2) OVER o AS b3,
+         lead(words, 3) OVER o IS NOT NULL AS has4, lag(words, 3) OVER o IS NOT NULL AS back4
+  FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY seq)
+), m AS (
+  SELECT *, CASE WHEN words >= 4 THEN 1 WHEN w2 >= 4 THEN 2 WHEN w3 >= 4 THEN 3 WHEN has4 THEN 4 END AS ahead,
+            CASE WHEN words >= 4 THEN 1 WHEN b2 >= 4 THEN 2 WHEN b3 >= 4 THEN 3 WHEN back4 THEN 4 END AS back
+  FROM x
+), b AS (
+  SELECT doc_id, seq AS start, ahead AS m FROM m WHERE ahead IS NOT NULL
+  UNION
+  SELECT doc_id, seq - back + 1, back FROM m WHERE back IS NOT NULL
+), c AS (
+  SELECT b.doc_id, b.start, b.m, CASE b.m WHEN 1 THEN l1 WHEN 2 THEN l2 WHEN 3 THEN l3 ELSE l4 END AS block
+  FROM b JOIN x ON b.doc_id = x.doc_id AND b.start = x.seq
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY m, block ORDER BY doc_id, start) AS nth FROM c
+), gone AS (
+  SELECT DISTINCT doc_id, start + i AS seq FROM r, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE nth > 1 AND i < m
+), kept AS (
+  SELECT w.doc_id, string_agg(w.line, chr(10) ORDER BY w.pos) FILTER (WHERE g.seq IS NULL) AS text, count(*) AS n_lines, count(g.seq) AS n_deleted
+  FROM w LEFT JOIN s ON w.doc_id = s.doc_id AND w.pos = s.pos LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.seq = g.seq
+  GROUP BY w.doc_id
+)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_deleted AS BIGINT) AS n_deleted, sha256(coalesce(text, '')) AS text_sha256 FROM kept
+"""
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_line_dedup": op3_line_dedup,
         "op4_source_mixing": op4_source_mixing,
         "op5_quality_cotraining": op5_quality_cotraining,
         "op6_toxicity_mil": op6_toxicity_mil,
@@ -71,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL}
