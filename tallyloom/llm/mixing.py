@@ -138,3 +138,15 @@ def mix(docs: DataFrame, cycle: int = 3, seed: int = SEED) -> DataFrame:
     edge = joined.where("range is not null and want is not null and not whole")
     edge = edge.withColumn("picked", F.row_number().over(Window.partitionBy("source", "size", "range").orderBy("u", "doc_id")) <= F.col("want"))
     return easy.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.col("picked").cast("long"))).alias("taken"))
+
+
+def mixed(docs: DataFrame, cycle: int = 3, seed: int = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it.
+
+    Rows that agree in doc_id, source and size are taken equally often: as often as any of them.
+    """
+    taken = mix(docs, cycle, seed).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
+    rows = docs.select(*docs.columns, F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("_size")).alias("d")
+    t = taken.alias("t")
+    joined = rows.join(t, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d._size") == F.col("t.size")))
+    return joined.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias("_time")).drop("_time")
