@@ -46,6 +46,16 @@ def release(*cuts: DataFrame) -> None:
             where.getFileSystem(cut.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Keys that are broadcast for a semi-join: so many bytes at 16 a key; more are joined by a shuffle.
+BROADCAST_KEY_BYTES = 32 << 20
+
+
+def rows_of(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose key is among keys (one long column, durable). Few keys, by count, are broadcast."""
+    few = keys.count() * 16 <= BROADCAST_KEY_BYTES
+    return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, exact_dedup, line_dedup, minhash, mixing, pii, quality, toxicity, webp
+from tallyloom.llm import bpe, exact_dedup, line_dedup, minhash, mixing, pii, quality, substring_dedup, toxicity, webp
 from tallyloom.llm.common import table
 
 
@@ -42,7 +42,8 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos
   FROM documents
 ), w AS (
-  SELECT doc_id, line, pos, len(regexp_extract_all(line, '[^ 	-]+')) AS words FROM l
+  SELECT doc_id, line, pos, len(regexp_extract_all(line, '[^ 	-
+]+')) AS words FROM l
 ), s AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM w WHERE words > 0
 ), x AS (
@@ -96,6 +97,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.digests(webp.store(table(spark, sf_dir, "documents")))
 
@@ -113,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_cotraining": op5_quality_cotraining,
         "op6_toxicity_mil": op6_toxicity_mil,
         "op7_personal_data": op7_personal_data,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_lossless_webp": op9_lossless_webp,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
