@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import whole_text
 
 #: Pre-tokens that a generation of the memory holds.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 #: Keys per bucket of the perfect hash, on average.
 BUCKET_KEYS = 3
 
@@ -127,35 +127,44 @@ class Coder(dict):
     def merge(self, raw: bytes) -> tuple[int, ...]:
         """Ids of a pre-token that is no token."""
         n, ranks = len(raw), self.ranks
+        get = ranks.get
         ends = list(range(1, n + 1))  # where the part that starts here ends
         before = list(range(-1, n - 1))  # where the part to the left starts
-        pair: list[int | None] = [ranks.get(raw[i : i + 2]) for i in range(n - 1)]
-        pair.append(None)  # rank of the part that starts here with the next one
-        heap = [r * n + i for i, r in enumerate(pair) if r is not None]
+        pair = [-1] * n  # rank * n + start of the part that starts here joined to the next one
+        heap = []
+        for i in range(n - 1):
+            r = get(raw[i : i + 2])
+            if r is not None:
+                pair[i] = r * n + i
+                heap.append(pair[i])
         heapify(heap)
         while heap:
-            rank, i = divmod(heappop(heap), n)
-            if pair[i] != rank:  # a neighbour was merged meanwhile
+            k = heappop(heap)
+            i = k % n
+            if pair[i] != k:  # a neighbour was merged meanwhile
                 continue
             j = ends[i]
             end = ends[i] = ends[j]
-            pair[j] = None
+            pair[i] = pair[j] = -1
             if end < n:
                 before[end] = i
-                r = pair[i] = ranks.get(raw[i : ends[end]])
+                r = get(raw[i : ends[end]])
                 if r is not None:
-                    heappush(heap, r * n + i)
-            else:
-                pair[i] = None
+                    k = pair[i] = r * n + i
+                    heappush(heap, k)
             h = before[i]
             if h >= 0:
-                r = pair[h] = ranks.get(raw[h:end])
-                if r is not None:
-                    heappush(heap, r * n + h)
+                r = get(raw[h:end])
+                if r is None:
+                    pair[h] = -1
+                else:
+                    k = pair[h] = r * n + h
+                    heappush(heap, k)
         out, i = [], 0
         while i < n:
-            out.append(ranks[raw[i : ends[i]]])
-            i = ends[i]
+            end = ends[i]
+            out.append(ranks[raw[i:end]])
+            i = end
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
@@ -165,7 +174,7 @@ class Coder(dict):
         """The ids, and as decimal text with blanks between."""
         if not text:
             return [], ""
-        ids, shown = zip(*[self[p] for p in self.split(text)], strict=True)
+        ids, shown = zip(*map(self.__getitem__, self.split(text)), strict=True)
         return list(chain.from_iterable(ids)), " ".join(shown)
 
     def decode(self, ids: Iterable[int]) -> bytes:
@@ -242,3 +251,22 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], [f.split()[0] for f in ROUND_TRIP.split(", ")])
 
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(work, ROUND_TRIP)
+
+
+CHECKED = "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string"
+
+
+def encode_checked(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, n_tokens, ids and the digest of what they decode to, of every row of docs."""
+    name, shared = vocabulary.name, vocabulary.shared
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(name, shared)
+        for batch in batches:
+            ids = [coder.encode(t) for t in batch.column(1).to_pylist()]
+            decoded = [hashlib.sha256(coder.decode(x)).hexdigest() for x in ids]
+            flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids))))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(decoded, pa.string())], [f.split()[0] for f in CHECKED.split(", ")])
+
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(work, CHECKED)
