@@ -39,14 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import durable, whole_text
+from tallyloom.llm.common import durable, rows_of, whole_text
 from tallyloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SKETCH = 256
-HEAD = 32
+HEAD = 16
 #: Members of a list that one task compares at once; longer lists are cut into blocks.
-BLOCK = 2048
+BLOCK = 1024
 #: Words whose hashes a worker remembers.
 REMEMBERED = 300_000
 DEVIATIONS = 5.0
@@ -148,14 +148,14 @@ def _shared(members: list[_Member]) -> np.ndarray:
     rows, cols = owner[hit], column[at[hit]]
     order = np.argsort(cols, kind="stable")
     rows, cols = rows[order], cols[order]
-    out = np.zeros((len(members), len(members)), np.float32)
-    step = max(1, (1 << 24) // len(members))  # columns at once: bounds the dense piece
+    out = np.zeros((len(members), len(members)), np.int32)
+    step = max(1, (1 << 22) // len(members))  # columns at once: bounds the dense piece
     total = int(often.sum())
     for first in range(0, total, step):
         lo, hi = np.searchsorted(cols, [first, first + step])
         piece = np.zeros((len(members), min(step, total - first)), np.float32)
         piece[rows[lo:hi], cols[lo:hi] - first] = 1
-        out += piece @ piece.T
+        out += (piece @ piece.T).astype(np.int32)
     return out
 
 
@@ -165,14 +165,17 @@ def _compare(value: int, members: list[_Member], percent: int) -> Iterator[tuple
         return
     n = np.array([m.n for m in members], np.int64)
     whole = n <= SKETCH
-    shared = _shared(members).astype(np.int64)
-    union = n[:, None] + n[None, :] - shared
-    both = whole[:, None] & whole[None, :]
-    linked = both & (100 * shared >= percent * union)
+    shared = _shared(members)
+    linked = np.zeros(shared.shape, bool)
+    fits = np.zeros(shared.shape, bool)
+    for first in range(0, len(members), 128):  # some rows at once: bounds the temporary arrays
+        rows = slice(first, first + 128)
+        mine, both = n[rows, None], whole[rows, None] & whole[None, :]
+        linked[rows] = both & (100 * shared[rows] >= percent * (mine + n[None, :] - shared[rows]))
+        fits[rows] = ~both & (100 * np.minimum(mine, n[None, :]) >= percent * np.maximum(mine, n[None, :]))
     np.fill_diagonal(linked, False)
     yield from _forest(members, linked)
     # Larger sets: shared values against all values up to where the shorter reach of the two ends.
-    fits = ~both & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
     a, b = np.nonzero(np.triu(fits, 1))
     if not len(a):
         return
@@ -245,28 +248,19 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words, memo).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "raw"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words, memo) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(work, "node long, raw binary")
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(work, "node long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = durable(_full_sets(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), words), "near-sets")
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("raw").alias("x")), "a")
-    joined = first.join(sets.select(F.col("node").alias("b"), F.col("raw").alias("y")), "b")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return joined.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    nodes = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-nodes")
+    sets = durable(_full_sets(rows_of(docs.select("doc_id", "text"), nodes, "doc_id"), words), "near-sets")
+    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    joined = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y")).cast("long")
+    return joined.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def near_links(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -281,15 +275,16 @@ def near_links(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, words: in
     entries = chosen.select("node", "n", F.transform("common", lambda c: c["value"]).alias("prefix"), F.explode("common").alias("c")).select("node", "n", "prefix", F.col("c.value").alias("value"), F.col("c.df").alias("df"))
     lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     entries = entries.join(lists, "value")
+    listed = durable(entries.select(F.col("node").alias("doc_id")).distinct(), "near-listed")
     # Pairs of blocks: a member of block k of B goes to the tasks (i, k) for i <= k and (k, j) for j > k.
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", "value"), blocks).cast("int")
     entries = entries.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     entries = entries.select("value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "n", "prefix")
-    carried = sketched.select(F.col("doc_id").alias("node"), F.col("n").alias("size"), F.concat("head", "tail").alias("sketch"))
+    carried = rows_of(sketched, listed, "doc_id").select(F.col("doc_id").alias("node"), F.col("n").alias("size"), F.concat("head", "tail").alias("sketch"))
     own_sketch = entries.alias("e").join(carried.alias("s"), (F.col("e.node") == F.col("s.node")) & (F.col("e.n") == F.col("s.size"))).select("e.value", "e.lo", "e.hi", "e.node", "e.n", "e.prefix", "s.sketch")
     found = durable(_list_links(own_sketch, percent), "near-links")
-    unsure = found.where("not sure").select("a", "b").distinct()
+    unsure = durable(found.where("not sure").select("a", "b").distinct(), "near-unsure")
     checked = durable(_verified(unsure, docs, words, percent), "near-checked")
     return found.where("sure").select("a", "b").union(checked)
 
