@@ -50,10 +50,10 @@ def release(*cuts: DataFrame) -> None:
 BROADCAST_KEY_BYTES = 32 << 20
 
 
-def rows_of(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """The rows whose key is among keys (one long column, durable). Few keys, by count, are broadcast."""
-    few = keys.count() * 16 <= BROADCAST_KEY_BYTES
-    return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")
+def rows_of(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """The rows whose key is among keys (durable), or with left_anti isn't. Few keys, by count, are broadcast."""
+    few = keys.count() * 16 * len(keys.columns) <= BROADCAST_KEY_BYTES
+    return rows.join(F.broadcast(keys) if few else keys, on, how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
