@@ -1,6 +1,7 @@
 """Imputers: each adds p, the proposed share of every target, to a panel of visible counts.
 
-They see nothing but the visible panel: hidden truths are nulls before they get here.
+They see nothing but the visible panel: hidden truths are nulls before they get here. `by` names
+columns (a seed, say) whose values are panels of their own: all of them are imputed in one plan.
 """
 
 from __future__ import annotations
@@ -15,17 +16,18 @@ from tallyloom.panel import cells
 POOL_RANGE = 1 << 16
 
 
-def zero_fill(panel: DataFrame) -> DataFrame:
+def zero_fill(panel: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return panel.withColumn("p", F.transform("c", lambda v: F.lit(0.0)))
 
 
-def target_means(panel: DataFrame, d: int) -> DataFrame:
-    """One row: mean, the unweighted mean of c / n by target (null for a target never seen)."""
-    return panel.agg(F.array(*(F.avg(F.get("c", F.lit(k)) / F.col("n")) for k in range(d))).alias("mean"))
+def target_means(panel: DataFrame, d: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """mean, the unweighted mean of c / n by target (null for a target never seen): one row a panel."""
+    return panel.groupBy(*by).agg(F.array(*(F.avg(F.get("c", F.lit(k)) / F.col("n")) for k in range(d))).alias("p"))
 
 
-def mean_fill(panel: DataFrame, d: int = 4) -> DataFrame:
-    return panel.join(F.broadcast(target_means(panel, d))).withColumnRenamed("mean", "p")
+def mean_fill(panel: DataFrame, d: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
+    means = F.broadcast(target_means(panel, d, by))
+    return panel.join(means, list(by)) if by else panel.join(means)
 
 
 def pool(seen: DataFrame) -> DataFrame:
@@ -50,18 +52,19 @@ def marginal_draws(panel: DataFrame, seed: int = 0) -> DataFrame:
     return asked.join(seen.select("t", "place", "p"), ["t", "place"]).select("row_id", "t", "p")
 
 
-def with_proposals(panel: DataFrame, proposed: DataFrame) -> DataFrame:
+def with_proposals(panel: DataFrame, proposed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The panel with p from rows row_id, t, p; null where nothing is proposed."""
-    by_row = proposed.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "p"))).alias("by_t"))
-    joined = panel.join(by_row, "row_id", "left")
+    by_row = proposed.groupBy("row_id", *by).agg(F.map_from_entries(F.collect_list(F.struct("t", "p"))).alias("by_t"))
+    joined = panel.join(by_row, ["row_id", *by], "left")
     return joined.withColumn("p", F.transform("c", lambda v, i: F.when(F.col("by_t").isNotNull(), F.element_at("by_t", i)))).drop("by_t")
 
 
 def marginal_sampler(panel: DataFrame, seed: int = 0) -> DataFrame:
+    """One panel only."""
     return with_proposals(panel, marginal_draws(panel, seed))
 
 
-def same_day(panel: DataFrame, window_days: int = 31, min_obs: int = 5, max_widen: int = 2, exclude_own: bool = False, use_time: bool = True, use_group: bool = True, weighting: str = "n") -> DataFrame:
+def same_day(panel: DataFrame, window_days: int = 31, min_obs: int = 5, max_widen: int = 2, exclude_own: bool = False, use_time: bool = True, use_group: bool = True, weighting: str = "n", by: tuple[str, ...] = ()) -> DataFrame:
     """row_id, t, k, level, p of every missing cell: the mean share near its day in its group.
 
     Windows of window_days * 2^level days on both sides; the first with min_obs observed cells
@@ -69,28 +72,28 @@ def same_day(panel: DataFrame, window_days: int = 31, min_obs: int = 5, max_wide
     out. weighting n: sum of counts over sum of totals; equal: mean of the shares. Cells are folded
     by target, group and day before any window, so a window's rows are days, however many cells.
     """
-    long = cells(panel).withColumn("g", F.col("grp") if use_group else F.lit(""))
+    long = cells(panel, by=by).withColumn("g", F.col("grp") if use_group else F.lit(""))
     num, den = (F.col("c"), F.when(F.col("c").isNotNull(), F.col("n"))) if weighting == "n" else (F.col("c") / F.col("n"), F.when(F.col("c").isNotNull(), 1.0))
     sums = [F.count("c").alias("k"), F.coalesce(F.sum(num), F.lit(0.0)).alias("a"), F.coalesce(F.sum(den), F.lit(0.0)).alias("b")]
     frames = [window_days << level for level in range(max_widen + 1)] if use_time else [None]
 
-    def near(by: list[str], tag: str) -> DataFrame:
-        daily = long.groupBy(*by, "days").agg(*sums)
-        order = Window.partitionBy(*by)
+    def near(key: list[str], tag: str) -> DataFrame:
+        daily = long.groupBy(*key, "days").agg(*sums)
+        order = Window.partitionBy(*key)
         picked = []
         for level, w in enumerate(frames):
             frame = order.orderBy("days").rangeBetween(-w, w) if w is not None else order
             picked += [F.sum(x).over(frame).alias(f"{tag}{x}{level}") for x in "kab"]
-        return daily.select(*by, "days", *picked)
+        return daily.select(*key, "days", *picked)
 
-    asked = long.where("c is null").select("row_id", "e", "t", "g", "days")
-    found = asked.join(near(["t", "g"], "w"), ["t", "g", "days"])
-    every = long.groupBy("t").agg(*sums).select("t", *(F.col(x).alias(f"w{x}_all") for x in "kab"))
-    found = found.join(F.broadcast(every), "t")
+    asked = long.where("c is null").select("row_id", "e", "t", "g", "days", *by)
+    found = asked.join(near([*by, "t", "g"], "w"), [*by, "t", "g", "days"])
+    every = long.groupBy(*by, "t").agg(*sums).select(*by, "t", *(F.col(x).alias(f"w{x}_all") for x in "kab"))
+    found = found.join(F.broadcast(every), [*by, "t"])
     if exclude_own:
-        found = found.join(near(["t", "g", "e"], "o"), ["t", "g", "e", "days"])
-        own = long.groupBy("t", "e").agg(*sums).select("t", "e", *(F.col(x).alias(f"o{x}_all") for x in "kab"))
-        found = found.join(own, ["t", "e"])
+        found = found.join(near([*by, "t", "g", "e"], "o"), [*by, "t", "g", "e", "days"])
+        own = long.groupBy(*by, "t", "e").agg(*sums).select(*by, "t", "e", *(F.col(x).alias(f"o{x}_all") for x in "kab"))
+        found = found.join(own, [*by, "t", "e"])
     value = lambda x, at: F.col(f"w{x}{at}") - (F.col(f"o{x}{at}") if exclude_own else 0)
     level: Column = F.lit(len(frames))
     k: Column = value("k", "_all")
@@ -100,11 +103,11 @@ def same_day(panel: DataFrame, window_days: int = 31, min_obs: int = 5, max_wide
         level = F.when(enough, at).otherwise(level)
         k = F.when(enough, value("k", at)).otherwise(k)
         p = F.when(enough, value("a", at) / F.nullif(value("b", at), F.lit(0.0))).otherwise(p)
-    return found.select("row_id", "t", k.alias("k"), level.cast("int").alias("level"), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)).alias("p"))
+    return found.select(*by, "row_id", "t", k.alias("k"), level.cast("int").alias("level"), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)).alias("p"))
 
 
-def same_day_mean(panel: DataFrame, **options) -> DataFrame:
-    return with_proposals(panel, same_day(panel, **options))
+def same_day_mean(panel: DataFrame, by: tuple[str, ...] = (), **options) -> DataFrame:
+    return with_proposals(panel, same_day(panel, by=by, **options), by)
 
 
 MODELS = {"zero_fill": zero_fill, "mean_fill": mean_fill, "marginal_sampler": marginal_sampler, "same_day_mean": same_day_mean}

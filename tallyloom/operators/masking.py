@@ -21,7 +21,7 @@ def validate_mask(kind: str, rate: float) -> None:
         raise ValueError(f"mask rate must lie in [0, 1), not {rate!r}")
 
 
-def random_cell(rate: float, seed: int) -> Column:
+def random_cell(rate: float, seed: int | Column) -> Column:
     """Each observed cell with probability rate; a row that would lose all gets one back. No shuffle."""
     validate_mask("random_cell", rate)
     draw = F.transform("c", lambda v, i: v.isNotNull() & (uniform(F.col("e"), F.col("days"), i, HIDE + seed) < rate))

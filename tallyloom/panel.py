@@ -62,10 +62,11 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hide(events_full(spark, sf_dir), native_missing())
 
 
-def cells(panel: DataFrame, *more: str) -> DataFrame:
-    """Long form: row_id, e, entity, grp, days, n, t (target number), c, and elements of `more` arrays."""
+def cells(panel: DataFrame, *more: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Long form: row_id, e, entity, grp, days, n, t (target number), c, elements of `more` arrays, and by."""
     parts = F.arrays_zip(F.col("c").alias("c"), *(F.col(m).alias(m) for m in more))
-    return panel.select("row_id", "e", "entity", "grp", "days", "n", F.posexplode(parts).alias("t", "cell")).select("row_id", "e", "entity", "grp", "days", "n", "t", "cell.c", *(f"cell.{m}" for m in more))
+    own = ["row_id", "e", "entity", "grp", "days", "n", *by]
+    return panel.select(*own, F.posexplode(parts).alias("t", "cell")).select(*own, "t", "cell.c", *(f"cell.{m}" for m in more))
 
 
 def known_sum() -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import panels
+from tallyloom.plans import models, panels
 from tallyloom.plans.registry import Query
 
-MODULES = [panels]
+MODULES = [panels, models]
 
 
 def queries() -> dict[str, Query]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Doubles are compared after rounding: the order of a sum differs between engines.
-DIGITS = 6
+DIGITS = 9
 
 
 def rounded(df: DataFrame) -> DataFrame:
