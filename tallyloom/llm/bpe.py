@@ -30,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import whole_text
+from tallyloom.llm.common import slices, whole_text
 
 #: Pre-tokens that a generation of the memory holds.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Keys per bucket of the perfect hash, on average.
 BUCKET_KEYS = 3
 
@@ -101,22 +101,22 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class Coder(dict):
-    """Encoder and decoder; the mapping itself remembers pre-token -> (ids, ids as text)."""
+    """Encoder and decoder; the mapping itself remembers pre-token -> ids."""
 
     def __init__(self, tokens: list[bytes], pattern: str, displacements: np.ndarray, slots: np.ndarray):
         self.tokens = tokens
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.hash = PerfectHash(displacements, slots)
+        self.names = [str(i) for i in range(len(tokens))]
         self.split = regex.compile(pattern).findall
         self.older: dict = {}
 
-    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str]:
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         found = self.older.get(piece)
         if found is None:
             raw = piece.encode("utf-8")
             rank = self.hash.index(raw)
-            ids = (rank,) if self.tokens[rank] == raw else self.merge(raw)
-            found = ids, " ".join(map(str, ids))
+            found = (rank,) if self.tokens[rank] == raw else self.merge(raw)
         if len(piece) <= 64:  # long ones hardly come again
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
@@ -168,14 +168,11 @@ class Coder(dict):
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self[p][0] for p in self.split(text)))
+        return list(chain.from_iterable(map(self.__getitem__, self.split(text))))
 
-    def encode_both(self, text: str) -> tuple[list[int], str]:
-        """The ids, and as decimal text with blanks between."""
-        if not text:
-            return [], ""
-        ids, shown = zip(*map(self.__getitem__, self.split(text)), strict=True)
-        return list(chain.from_iterable(ids)), " ".join(shown)
+    def show(self, ids: list[int]) -> str:
+        """Ids in decimal with blanks between."""
+        return " ".join(map(self.names.__getitem__, ids))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -210,7 +207,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(name, shared)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [coder.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
 
@@ -242,11 +239,11 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(name, shared)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
-                ids, shown = coder.encode_both(text)
-                rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
+                ids = coder.encode(text)
+                rows.append((len(ids), hashlib.sha256(coder.show(ids).encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], [f.split()[0] for f in ROUND_TRIP.split(", ")])
 
@@ -262,7 +259,7 @@ def encode_checked(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(name, shared)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [coder.encode(t) for t in batch.column(1).to_pylist()]
             decoded = [hashlib.sha256(coder.decode(x)).hexdigest() for x in ids]
             flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids))))

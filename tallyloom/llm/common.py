@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,19 @@ def rows_of(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str = "l
     return rows.join(F.broadcast(keys) if few else keys, on, how)
 
 
+#: Bytes that a task turns into Python objects at once.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces whose texts (in `column`) have about SLICE_BYTES, at least a row each."""
+    for batch in batches:
+        size = max(1, batch.column(column).nbytes)
+        step = max(1, batch.num_rows * SLICE_BYTES // size)
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
