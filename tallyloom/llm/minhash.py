@@ -22,8 +22,9 @@ that aren't equal grows with the square of the group, spread over block tasks.
 
 Defined cases: null text counts as empty; a document without words has an empty set, is linked with
 nothing and is its own component. With fewer words than a shingle the whole sequence is the one
-shingle. A null doc_id can't be reached: its component is null and it is kept. Rows that share a
-doc_id are one document: links of either count for both. Extra columns are ignored.
+shingle. A null doc_id can't be reached: its component is null and it is kept. Rows that share
+doc_id and text share their result; where different texts carry one doc_id each row has the
+component of its own text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import durable, rows_of, whole_text
+from tallyloom.llm.common import durable, rows_of, slices, whole_text
 from tallyloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -106,7 +107,7 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, words, memo) for t in batch.column(1).to_pylist()]
             sizes = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -247,7 +248,7 @@ def _list_links(lists: DataFrame, percent: int) -> DataFrame:
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words, memo) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "shingles"])
 
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(work, "node long, shingles array<long>")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import whole_text
+from tallyloom.llm.common import slices, whole_text
 
 MAX_LABELLED = 9_000
 MAX_POOL = 9_000
@@ -164,7 +164,7 @@ def _sample(docs: DataFrame, labels: DataFrame, seed: int) -> pd.DataFrame:
     drawn = known.unionByName(pool).withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 3):
             b = batch.to_pydict()
             rows = _vectors(b["text"], b["source"], b["lang"], b["n_chars"])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(list(rows), pa.list_(pa.float64()))], [f.split()[0] for f in VECTOR.split(", ")])
