@@ -21,11 +21,14 @@ def validate_mask(kind: str, rate: float) -> None:
         raise ValueError(f"mask rate must lie in [0, 1), not {rate!r}")
 
 
-def random_cell(rate: float, seed: int | Column) -> Column:
-    """Each observed cell with probability rate; a row that would lose all gets one back. No shuffle."""
+def random_cell(rate: float, seed: int | Column, purpose: int = HIDE) -> Column:
+    """Each observed cell with probability rate; a row that would lose all gets one back. No shuffle.
+
+    Draws for another purpose (TRAIN: the training mask of a model) share no stream with these.
+    """
     validate_mask("random_cell", rate)
-    draw = F.transform("c", lambda v, i: v.isNotNull() & (uniform(F.col("e"), F.col("days"), i, HIDE + seed) < rate))
-    order = F.transform("c", lambda v, i: F.when(v.isNotNull(), uniform(F.col("e"), F.col("days"), i, ANCHOR + seed)))
+    draw = F.transform("c", lambda v, i: v.isNotNull() & (uniform(F.col("e"), F.col("days"), i, purpose + seed) < rate))
+    order = F.transform("c", lambda v, i: F.when(v.isNotNull(), uniform(F.col("e"), F.col("days"), i, ANCHOR + (purpose - HIDE) // 2 + seed)))
     stays = F.exists(F.zip_with("c", draw, lambda v, h: v.isNotNull() & ~h), lambda x: x)
     anchor = F.array_position(order, F.array_min(F.filter(order, lambda x: x.isNotNull()))) - 1
     return F.when(stays, draw).otherwise(F.transform(draw, lambda h, i: h & (i != F.coalesce(anchor, F.lit(-1)))))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import models, panels
+from tallyloom.plans import models, more, panels
 from tallyloom.plans.registry import Query
 
-MODULES = [panels, models]
+MODULES = [panels, models, more]
 
 
 def queries() -> dict[str, Query]:
