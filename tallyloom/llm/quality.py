@@ -27,7 +27,7 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import slices, whole_text
@@ -188,21 +188,26 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 0) -> CoTrained | None
 SCORES = ("content_score", "metadata_score", "score")
 
 
-def scored(docs: DataFrame, model: CoTrained | None) -> DataFrame:
-    """docs with content_score, metadata_score and score (P of good quality) in place of any columns so called."""
-    own = docs.drop(*SCORES)
-    if model is None:
-        return own.withColumns({c: F.lit(1.0) for c in SCORES})
+def _view(model: CoTrained) -> Column:
+    """The three scores of a row as a struct."""
 
     @F.pandas_udf("content_score double, metadata_score double, score double")
     def view(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
         sizes = [None if pd.isna(n) else int(n) for n in n_chars]
         return pd.DataFrame(dict(zip(SCORES, model.score(_vectors(text, source, lang, sizes)), strict=True)))
 
-    both = view(whole_text(), F.col("source"), F.col("lang"), F.col("n_chars").cast("long"))
-    return own.withColumn("_view", both).select(*own.columns, *(F.col("_view")[c].alias(c) for c in SCORES))
+    return view(whole_text(), F.col("source"), F.col("lang"), F.col("n_chars").cast("long"))
+
+
+def scored(docs: DataFrame, model: CoTrained | None) -> DataFrame:
+    """docs with content_score, metadata_score and score (P of good quality) in place of any columns so called."""
+    own = docs.drop(*SCORES)
+    if model is None:
+        return own.withColumns({c: F.lit(1.0) for c in SCORES})
+    return own.withColumn("_view", _view(model)).select(*own.columns, *(F.col("_view")[c].alias(c) for c in SCORES))
 
 
 def keep(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
-    """The rows of docs whose score is at least `least`, with the columns of docs."""
-    return scored(docs, train(docs, labels)).where(F.col("score") >= least).select(*docs.columns)
+    """The rows of docs whose score is at least `least`, with all columns of docs, whatever their names."""
+    model = train(docs, labels)
+    return docs if model is None else docs.where(_view(model)["score"] >= least)

@@ -159,8 +159,9 @@ def test_quality_on_held_out_labels(spark):
     got = quality.scored(rows, model).join(labels.where(away), "doc_id").select("score", "quality").collect()
     right = sum((r["score"] >= quality.KEEP) == (r["quality"] == 1) for r in got)
     assert len(got) > 50 and right / len(got) >= 0.97
-    kept = quality.keep(rows, labels)
-    assert kept.columns == rows.columns
+    kept = quality.keep(rows.withColumn("score", F.lit("mine")), labels)
+    assert kept.columns == [*rows.columns, "score"] and kept.select("score").distinct().collect() == [("mine",)]
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in quality.scored(rows, quality.train(rows, labels)).where(F.col("score") >= quality.KEEP).collect()}
 
 
 def test_quality_edges(spark):
@@ -169,7 +170,7 @@ def test_quality_edges(spark):
     assert quality.train(rows, labels) is None
     out = quality.scored(rows, None)
     assert out.where("score = 1").count() == 3
-    # A column called score is an input column like any other where rows are only filtered.
+    assert quality.keep(rows, labels).count() == 3
     assert len(quality.text_view("")) == quality.TEXT_FEATURES and len(quality.meta_view(None, None, None, "")) == quality.META_FEATURES
     assert np.isfinite(quality.text_view("A!!" * 1000)).all()
 
