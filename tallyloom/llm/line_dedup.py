@@ -108,7 +108,8 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = durable(named, "line-intervals")
     interval = ["m", "first", "last"]
     place = F.struct("id", "key", "seq")
-    owners = named.groupBy(*interval).agg(F.min(place).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # Written first: then both sides of the join are plain shuffles, and Spark can split a hot interval.
+    owners = durable(named.groupBy(*interval).agg(F.min(place).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "line-owners")
     copies = named.join(owners, interval).where(place != F.col("owner"))
     return copies.select("id", "key", F.explode(F.sequence("seq", F.col("seq") + F.col("m") - 1)).alias("seq")).distinct()
 
@@ -116,7 +117,7 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def _verdicts(keyed: DataFrame, min_words: int) -> DataFrame:
     """id, key, whole (all lines with words go) or gone (ranges of line numbers) of changed documents."""
     ids = keyed.select("id", "key", F.regexp_count("text", F.lit(WORD)).alias("words"))
-    owners = ids.groupBy("key").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    owners = durable(ids.groupBy("key").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1"), "line-text-owners")
     twins = durable(ids.join(owners, "key").where("id <> owner").select("id", "key", (F.col("words") >= min_words).alias("whole")).distinct(), "line-twins")
     lines = durable(_lines(keyed).join(twins.where("whole").select("id", "key"), ["id", "key"], "left_anti").distinct(), "lines")
     lost = lines.select(*PLACE, "pos").join(later_copies(lines, min_words), PLACE)
