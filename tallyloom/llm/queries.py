@@ -109,6 +109,31 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+#: The definition itself: shingles as strings, all links on full sets, reachability.
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingles FROM d
+), g AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT a AS doc_id, b AS other FROM l
+  UNION
+  SELECT reach.doc_id, l.b FROM reach JOIN l ON reach.other = l.a
+), c AS (
+  SELECT doc_id, min(other) AS least_other FROM reach GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(least_other, s.doc_id)) AS component_id,
+       s.doc_id = least(s.doc_id, coalesce(least_other, s.doc_id)) AS kept
+FROM s LEFT JOIN c USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -125,4 +150,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op10_minhash_near_dedup": OP10_SQL}
