@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import models, more, panels
+from tallyloom.plans import models, more, panels, pilots
 from tallyloom.plans.registry import Query
 
-MODULES = [panels, models, more]
+MODULES = [panels, models, more, pilots]
 
 
 def queries() -> dict[str, Query]:
