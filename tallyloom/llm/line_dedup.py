@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import durable
+from tallyloom.llm.common import durable, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 4
@@ -137,9 +137,10 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = _keyed(docs)
     verdicts = durable(_verdicts(keyed, min_words), "line-verdicts")
     own = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    left = docs.select(*own).withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_key": F.unhex(F.md5(F.coalesce("text", F.lit(""))))}).alias("d")
+    own_id, own_key = unused(docs, "_id"), unused(docs, "_key")
+    left = docs.select(*(f"`{c}`" for c in own)).withColumns({own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), own_key: F.unhex(F.md5(F.coalesce("text", F.lit(""))))}).alias("d")
     right = verdicts.alias("v")
-    both = left.join(right, (F.col("d._id") == F.col("v.id")) & (F.col("d._key") == F.col("v.key")), "left")
+    both = left.join(right, (F.col(f"d.{own_id}") == F.col("v.id")) & (F.col(f"d.{own_key}") == F.col("v.key")), "left")
     lines = F.split("d.text", "\n")
     spoken = F.size(F.filter(lines, lambda x: x.rlike(WORD)))
     gone = F.coalesce("v.gone", F.array().cast("array<struct<first:int,last:int>>"))

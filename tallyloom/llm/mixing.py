@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import durable, whole_text
+from tallyloom.llm.common import durable, unused, whole_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: No document is taken more often.
@@ -146,7 +146,8 @@ def mixed(docs: DataFrame, cycle: int = 3, seed: int = SEED) -> DataFrame:
     Rows that agree in doc_id, source and size are taken equally often: as often as any of them.
     """
     taken = mix(docs, cycle, seed).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
-    rows = docs.select(*docs.columns, F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("_size")).alias("d")
+    size, time = unused(docs, "_size"), unused(docs, "_time")
+    rows = docs.withColumn(size, F.regexp_count(whole_text(), F.lit(WORD)).cast("long")).alias("d")
     t = taken.alias("t")
-    joined = rows.join(t, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d._size") == F.col("t.size")))
-    return joined.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias("_time")).drop("_time")
+    joined = rows.join(t, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col(f"d.{size}") == F.col("t.size")))
+    return joined.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias(time)).drop(time)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import slices, whole_text
+from tallyloom.llm.common import slices, unused, whole_text
 
 MAX_LABELLED = 9_000
 MAX_POOL = 9_000
@@ -204,7 +204,8 @@ def scored(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     own = docs.drop(*SCORES)
     if model is None:
         return own.withColumns({c: F.lit(1.0) for c in SCORES})
-    return own.withColumn("_view", _view(model)).select(*own.columns, *(F.col("_view")[c].alias(c) for c in SCORES))
+    view = unused(own, "_view")
+    return own.withColumn(view, _view(model)).select(*own.columns, *(F.col(view)[c].alias(c) for c in SCORES))
 
 
 def keep(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
