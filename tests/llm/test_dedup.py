@@ -224,6 +224,75 @@ def test_planted_passages(spark):
     assert substring_dedup.passages(docs(spark, [])).count() == 0
 
 
+def brute_passages(a, b, least, percent):
+    """The most shingles of a in a passage pair of two shingle lists, over all passage pairs; 0 if there is none."""
+    best = 0
+    for s in range(len(a)):
+        for e in range(max(s + least, s + best + 1), len(a) + 1):
+            own = set(a[s:e])
+            for t in range(len(b) - least + 1):
+                seen, shared = set(), 0
+                for u, x in enumerate(b[t:], 1):
+                    if x not in seen:
+                        seen.add(x)
+                        shared += x in own
+                    if u >= least and 100 * shared >= percent * (len(own) + len(seen) - shared):
+                        best = max(best, e - s)
+                        break
+    return best
+
+
+def shingle_ids(words, size=5):
+    import numpy as np
+
+    return np.array([hash(tuple(words[k : k + size])) for k in range(len(words) - size + 1)], np.int64)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_passages_with_insertions_and_deletions_against_all_pairs(seed):
+    rnd = random.Random(seed)
+    passage = random_words(rnd, 26)
+    edited = list(passage)
+    for _ in range(seed % 3):
+        at = rnd.randrange(5, len(edited) - 5)
+        edited[at : at + rnd.randint(0, 1)] = random_words(rnd, rnd.randint(0, 1))
+    a = shingle_ids(random_words(rnd, 5) + passage + random_words(rnd, 6))
+    b = shingle_ids(random_words(rnd, 8) + edited + random_words(rnd, 3))
+    aligned = [(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x == y]
+    for percent in (60, 70, 80):
+        want = brute_passages(a.tolist(), b.tolist(), 12, percent)
+        for seeds in (aligned, aligned[::-1]):
+            got = substring_dedup.matches(a, b, seeds, 12, percent)
+            # All passage pairs also have ends that match nothing; a chain ends at matches.
+            slack = want * (100 - percent) // percent + 1
+            assert bool(got) == bool(want) or not got and want - slack < 12, (percent, want, got)
+            assert all(100 * j >= percent for *_, j in got) and all(e - s + 1 <= want for s, e, *_ in got)
+            assert not got or want - slack <= max(e - s + 1 for s, e, *_ in got)
+
+
+def test_inserted_and_deleted_words_do_not_hide_passages():
+    rnd = random.Random(3)
+
+    def found(before, after):
+        a, b = shingle_ids(random_words(rnd, 20) + after + random_words(rnd, 30)), shingle_ids(random_words(rnd, 40) + before + random_words(rnd, 10))
+        shared = [(i, int((b == x).argmax())) for i, x in enumerate(a) if x in b]
+        return [substring_dedup.matches(a, b, [centre], 46, 80) for centre in (shared[3], shared[len(shared) // 2], shared[-3])]
+
+    for size, cuts in ((60, [30]), (120, [40, 80]), (450, range(45, 450, 45))):
+        base = random_words(rnd, size)
+        longer = [w for k, w in enumerate(base) for w in ([f"new{k}", w] if k in cuts else [w])]
+        shorter = [w for k, w in enumerate(base) if k not in cuts]
+        for other in (longer, shorter):
+            for out in [*found(base, other), *found(other, base)]:
+                assert len(out) == 1 and out[0][4] >= 0.8 and out[0][0] == 20 and out[0][2] == 40, (size, out)
+
+
+def test_repeated_words_are_laid_out_by_diagonals():
+    a = shingle_ids(["x"] * 900)
+    (got,) = substring_dedup.matches(a, a[:700], [(0, 0)], 46, 80)
+    assert got[4] == 1.0 and got[1] - got[0] + 1 >= 696
+
+
 # --- the registered queries against their SQL ---------------------------------------
 
 
