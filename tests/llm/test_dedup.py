@@ -293,6 +293,28 @@ def test_repeated_words_are_laid_out_by_diagonals():
     assert got[4] == 1.0 and got[1] - got[0] + 1 >= 696
 
 
+def test_one_agreeing_function_is_enough(spark):
+    """Passages at 0.8 whose min-hashes agree in one of the four functions only."""
+    rnd = random.Random(0)
+    rows, n = [], 0
+    while len(rows) < 12:
+        passage = random_words(rnd, 60, 10**6)
+        edited = list(passage)
+        edited[rnd.randrange(5, 55)] = "changed"
+        edited.insert(0, "before")
+        a, b = (" ".join(random_words(rnd, 8, 10**6) + x) for x in (passage, edited))
+        minima = []
+        for text in (a, b):
+            ids = substring_dedup.shingle_hashes(text.split(), 5, substring_dedup.WordHashes()).view("uint64")
+            mixed = [substring_dedup._mixed(ids ^ seed) for seed in substring_dedup.SEEDS]
+            minima.append({(k, int(m[c])) for k, m in enumerate(mixed) for _, c, _ in substring_dedup.compact_windows(m, 46)})
+        if len({k for k, _ in minima[0] & minima[1]}) == 1:
+            rows += [(n, a), (n + 1, b)]
+            n += 2
+    got = {(r["doc_id"], r["source_doc_id"]) for r in substring_dedup.passages(docs(spark, rows)).collect()}
+    assert got == {(k + 1, k) for k in range(0, n, 2)}
+
+
 # --- the registered queries against their SQL ---------------------------------------
 
 
