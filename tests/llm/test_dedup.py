@@ -315,6 +315,26 @@ def test_one_agreeing_function_is_enough(spark):
     assert got == {(k + 1, k) for k in range(0, n, 2)}
 
 
+def test_no_member_of_a_group_goes_uncompared(spark):
+    """Earlier documents own the min-hashes of a passage, and a chain of variants."""
+    rnd = random.Random(5)
+    passage = random_words(rnd, 50, 10**6)
+    ids = substring_dedup.shingle_hashes(passage, 5, substring_dedup.WordHashes()).view("uint64")
+    low = sorted({int(substring_dedup._mixed(ids ^ seed).argmin()) for seed in substring_dedup.SEEDS})
+    spread = lambda: " ".join(w for at in low for w in random_words(rnd, 70, 10**6) + passage[at : at + 5])
+    rows = [(k, spread() + " " + " ".join(random_words(rnd, 70, 10**6))) for k in range(5)]
+    around = lambda x, n: " ".join(random_words(rnd, n, 10**6) + x + random_words(rnd, n, 10**6))
+    rows += [(10, around(passage, 40)), (11, around(passage, 30))]
+    # Each variant changes other words, so 22 meets 21 but not 20.
+    chain = random_words(rnd, 100, 10**6)
+    for k, at in ((20, 0), (21, 1), (22, 2)):
+        variant = [f"v{at}" if place in [7 + 13 * i for i in range(2 * at)] else w for place, w in enumerate(chain)]
+        rows.append((k, " ".join(variant)))
+    got = {(r["doc_id"], r["source_doc_id"]) for r in substring_dedup.passages(docs(spark, rows)).collect()}
+    assert (11, 10) in got and (21, 20) in got and any(a == 22 for a, _ in got)
+    assert not any(a < 10 or b < 10 for a, b in got)
+
+
 # --- the registered queries against their SQL ---------------------------------------
 
 
