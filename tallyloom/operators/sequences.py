@@ -40,10 +40,14 @@ def segments(rows: DataFrame, length: int, gap: int) -> DataFrame:
 
 
 def packed(panel: DataFrame, length: int) -> DataFrame:
-    """e, days, rows, parts: each entity's rows in time order, padded to `length` with row -1."""
-    lists = panel.groupBy("e").agg(F.sort_array(F.collect_list(F.struct("days", "row_id", "c"))).alias("s"))
+    """e, segment, days, rows, parts: each entity's rows in time order, padded to `length` with row -1.
+
+    Entities of more than `length` rows go on in segments 1, 2, ... of `length` rows; no row is left out.
+    """
+    numbered = panel.withColumn("segment", F.floor((F.row_number().over(Window.partitionBy("e").orderBy("days", "row_id")) - 1) / length))
+    lists = numbered.groupBy("e", "segment").agg(F.sort_array(F.collect_list(F.struct("days", "row_id", "c"))).alias("s"))
     pad = lambda get, blank: F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.when(i <= F.size("s"), get(F.element_at("s", i))).otherwise(blank))
-    return lists.where(F.size("s") <= length).select("e", pad(lambda x: x["days"], F.lit(None).cast("long")).alias("days"), pad(lambda x: x["row_id"], F.lit(-1).cast("long")).alias("rows"), pad(lambda x: x["c"], F.lit(None).cast("array<double>")).alias("parts"))
+    return lists.select("e", "segment", pad(lambda x: x["days"], F.lit(None).cast("long")).alias("days"), pad(lambda x: x["row_id"], F.lit(-1).cast("long")).alias("rows"), pad(lambda x: x["c"], F.lit(None).cast("array<double>")).alias("parts"))
 
 
 def unpacked(packs: DataFrame) -> DataFrame:

@@ -146,6 +146,16 @@ def test_interpolation_by_hand(spark):
     assert got == {0: 4.0, 2: 4.0, 4: 6.0, 6: 8.0, 9: 8.0}
 
 
+def test_packing_keeps_entities_longer_than_a_segment(spark):
+    panel = make(spark, [(e, d, 9.0, [float(d), None, 1.0, e * 1.0]) for e, size in ((1, 3), (2, 8), (3, 9), (4, 21)) for d in range(size)])
+    packs = sequences.packed(panel, 8)
+    assert sorted((r["e"], r["segment"], sum(x >= 0 for x in r["rows"])) for r in packs.collect()) == [(1, 0, 3), (2, 0, 8), (3, 0, 8), (3, 1, 1), (4, 0, 8), (4, 1, 8), (4, 2, 5)]
+    assert all(len(r[k]) == 8 for r in packs.collect() for k in ("rows", "days", "parts"))
+    want = {(r["row_id"], r["days"], tuple(r["c"])) for r in panel.collect()}
+    got = [(r["row_id"], r["days"], tuple(r["c"])) for r in sequences.unpacked(packs).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_tuning_prefers_some_candidate(spark, sf):
     rows = neighbours.tune(pn.orders_panel(spark, sf)).collect()
     assert len(rows) == 6 and all(r["score"] is None or r["score"] >= 0 for r in rows)
