@@ -61,6 +61,19 @@ def supported_errors(s, d):
 
 reg.add("supported_errors", supported_errors, "SELECT model, count(*) AS cells, avg(abs(pred_prop - truth_prop)) AS mae_prop FROM (SELECT p.*, (SELECT count(*) FROM cells o WHERE o.t = p.t AND o.grp = p.grp AND o.c IS NOT NULL AND o.e <> p.e AND abs(o.days - p.row_id % 100000) <= 62) AS refs, (SELECT count(DISTINCT o.e) FROM cells o WHERE o.t = p.t AND o.grp = p.grp AND o.c IS NOT NULL AND o.e <> p.e AND abs(o.days - p.row_id % 100000) <= 62) AS ents FROM pred p WHERE seed = 1 AND model = 'mean_fill') WHERE refs >= 10 AND ents >= 2 GROUP BY model", "model cells", "mae_prop", models.PRED)
 
+def supported_errors_by_run(s, d):
+    """The same for every model and seed; support is that of the cell, whatever hides it."""
+    from tallyloom.operators import support
+
+    rows = models.predicted(s, d)
+    seen = pn.cells(pn.orders_panel(s, d)).where("c is not null").select("row_id", "t", "e", "grp", "days", "c")
+    good = support.support(rows.select("row_id", "t", "e", "grp", "days").distinct(), seen).where("supported").select("row_id", "t")
+    return scoring.masked_errors(rows.join(good, ["row_id", "t"], "left_semi"), ["model", "seed"]).where("cell_group = 'all'").select("model", "seed", "cells", "mae_prop")
+
+
+reg.add("supported_errors_by_run", supported_errors_by_run, "SELECT model, seed, count(*) AS cells, avg(abs(pred_prop - truth_prop)) AS mae_prop FROM pred JOIN near USING (row_id, t) WHERE refs >= 10 AND ents >= 2 GROUP BY model, seed", "model seed cells", "mae_prop",
+        models.PRED + ", asked AS (SELECT DISTINCT row_id, t, e, grp FROM pred), near AS (SELECT p.row_id, p.t, count(*) AS refs, count(DISTINCT o.e) AS ents FROM asked p JOIN cells o ON o.t = p.t AND o.grp = p.grp AND o.c IS NOT NULL AND o.e <> p.e AND abs(o.days - p.row_id % 100000) <= 62 GROUP BY ALL)")
+
 # --- sets, splits, comparisons ------------------------------------------------------
 
 

@@ -156,6 +156,13 @@ def test_packing_keeps_entities_longer_than_a_segment(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_supported_errors_cover_every_model_and_seed(spark, sf):
+    from tallyloom.plans import catalog, models
+
+    got = {(r["model"], r["seed"]) for r in catalog.queries()["supported_errors_by_run"](spark, sf).collect()}
+    assert got == {(m, k) for m in models.MODELS for k in models.SEEDS}
+
+
 def test_tuning_prefers_some_candidate(spark, sf):
     rows = neighbours.tune(pn.orders_panel(spark, sf)).collect()
     assert len(rows) == 6 and all(r["score"] is None or r["score"] >= 0 for r in rows)
