@@ -168,6 +168,38 @@ def test_tuning_prefers_some_candidate(spark, sf):
     assert len(rows) == 6 and all(r["score"] is None or r["score"] >= 0 for r in rows)
 
 
+def test_tuning_is_the_whole_grid_on_a_fifth_of_the_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(64):
+        c = [float(v) for v in rng.integers(0, 9, 4)]
+        rows.append((i, 0, sum(c) + 2, [None if i < 4 and k <= i % 3 else v for k, v in enumerate(c)]))  # 4 incomplete rows, 60 complete ones
+    panel = make(spark, rows)
+    held = {}
+    for r in neighbours.held_out(panel).collect():
+        held.setdefault(r["rep"], {})[r["row_id"]] = (np.array(r["truth"]), np.array([np.nan if v is None else v for v in r["x"]]))
+    assert sorted(held) == [0, 1, 2, 3, 4] and {len(v) for v in held.values()} == {12}
+    assert all(np.isnan(x).any() and not np.isnan(x).all() for v in held.values() for _, x in v.values())
+    whole = {e * 100_000: np.array([*c, n - sum(c)]) / n for e, _, n, c in rows if None not in c}
+    jsd = lambda p, q: sum((v * np.log(2 * v / (v + w)) if v > 0 else 0.0) + (w * np.log(2 * w / (v + w)) if w > 0 else 0.0) for v, w in zip(p, q, strict=True))
+    got = {(r["k"], r["alpha"]): r["score"] for r in neighbours.tune(panel, neighbours.ALL_KS, neighbours.ALL_ALPHAS).collect()}
+    assert set(got) == {(k, a) for k in (1, 3, 5, 10) for a in (0.25, 0.5, 0.75, 1.0)}
+    for (k, a), score in got.items():
+        errors = []
+        for out in held.values():
+            donors = [(i, y) for i, y in whole.items() if i not in out]
+            for truth, x in out.values():
+                s = ~np.isnan(x)
+                near = [y for _, y in donors]
+                if x[s].sum() > 0:
+                    near = [y for _, _, y in sorted((round(max(jsd(x[s] / x[s].sum(), y[s] / y[s].sum()), 0.0), 12), i, y.tolist()) for i, y in donors if y[s].sum() > 0)[:k]]
+                mean = np.mean(np.array(near) ** a, axis=0) ** (1 / a)
+                filled, left = x.copy(), 1 - x[s].sum()
+                filled[~s] = 0.0 if left <= 1e-12 else left * mean[~s] / mean[~s].sum() if mean[~s].sum() > 0 else left / (~s).sum()
+                errors.append(jsd(truth, filled))
+        assert len(errors) == 60 and score == pytest.approx(np.mean(errors), rel=1e-6)
+
+
 def test_stream_counts_equal_batch_counts(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
