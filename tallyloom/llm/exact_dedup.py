@@ -2,11 +2,16 @@
 
 Every text becomes its SHA-256 (JVM side). Digests then meet in cuckoo filters twice: each input
 partition folds its own rows first, so that a group holding a third of all rows leaves a task as
-one entry, and after a shuffle by digest each bucket partition merges the entries. No text is
-shuffled. A filter hit (equal 16-bit fingerprint in one of two buckets) is only a maybe; it counts
-after the full stored digest and text length in that bucket's content compare equal. A filter that
-overflows its kicks doubles and is refilled from its stored keys. delete() frees slots, so an index
-kept as a table follows a corpus that loses documents.
+one entry, and after a shuffle by digest each bucket partition merges the entries in digest order:
+digests that can't come again are handed on and deleted from the filter, which so holds only live
+ones. No text is shuffled. A filter hit (equal 16-bit fingerprint in one of two buckets) is only a
+maybe; it counts after the full stored digest and text length in that bucket's content compare equal.
+A filter that overflows its kicks doubles and is refilled from its stored keys.
+
+An index kept as a table follows a corpus that gains and loses documents (update_index). An entry
+counts its documents and names the largest doc_id and up to SPARE next ones, so that when the keeper
+is deleted the next one stands ready. When more keepers are deleted than that, the entry is marked
+stale: it still counts right, and renamed() finds its keeper in the corpus.
 
 Defined cases: null text counts as empty, so null and empty texts are one group. Null doc_id never
 wins over another id; a group with only null ids keeps all its rows. Rows that repeat the winner's
@@ -17,7 +22,7 @@ of any name are ignored.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,19 +35,24 @@ SLOTS = 4
 MAX_KICKS = 128
 #: Entries that a task folds before it hands them on: bounds a worker's memory, not the result.
 FOLD_ENTRIES = 200_000
-ENTRY = "digest binary, n_bytes long, keep_id long, group_size long"
+#: Entries that a merging task holds before it hands on the finished ones.
+LIVE_ENTRIES = 50_000
+#: doc_ids that an entry has in reserve.
+SPARE = 4
+ENTRY = "digest binary, n_bytes long, keep_id long, group_size long, spare array<long>, stale boolean"
 
 
 class CuckooIndex:
     """A cuckoo filter whose slots point at stored content (digest, length) with a payload.
 
-    Payload: the largest doc_id seen (or None) and the number of rows.
+    Payload: the largest doc_ids, the number of rows, and whether the largest may be unknown.
     """
 
     def __init__(self, buckets: int = 256):
         self.keys: list[tuple[bytes, int] | None] = []
-        self.best: list[int | None] = []
+        self.ids: list[list[int]] = []
         self.rows: list[int] = []
+        self.stale: list[bool] = []
         self.live = 0
         self._clear(buckets)
 
@@ -71,17 +81,20 @@ class CuckooIndex:
     def __contains__(self, key: tuple[bytes, int]) -> bool:
         return self._slot(*key) >= 0
 
-    def insert(self, digest: bytes, n_bytes: int, doc_id: int | None, rows: int = 1) -> None:
+    def insert(self, digest: bytes, n_bytes: int, doc_id: int | None, rows: int = 1, spare: Iterable[int] = (), stale: bool = False) -> None:
+        ids = [] if doc_id is None else [doc_id, *spare]
         slot = self._slot(digest, n_bytes)
         if slot >= 0:
             ref = self.refs[slot]
             self.rows[ref] += rows
-            if doc_id is not None and (self.best[ref] is None or doc_id > self.best[ref]):
-                self.best[ref] = doc_id
+            self.stale[ref] |= stale
+            if ids:
+                self.ids[ref] = sorted(self.ids[ref] + ids, reverse=True)[: SPARE + 1]
             return
         self.keys.append((digest, n_bytes))
-        self.best.append(doc_id)
+        self.ids.append(ids)
         self.rows.append(rows)
+        self.stale.append(stale)
         self.live += 1
         if not self._place(len(self.keys) - 1):
             self._grow()
@@ -96,6 +109,24 @@ class CuckooIndex:
         self.live -= 1
         return True
 
+    def remove(self, digest: bytes, n_bytes: int, doc_id: int | None) -> bool:
+        """Takes one document from a live digest, which goes with its last; True if that may have been one of its documents."""
+        slot = self._slot(digest, n_bytes)
+        if slot < 0:
+            return False
+        ref = self.refs[slot]
+        ids, all_named = self.ids[ref], len(self.ids[ref]) == self.rows[ref]
+        if doc_id in ids:
+            ids.remove(doc_id)
+        elif all_named or doc_id is not None and len(ids) > SPARE and doc_id > ids[-1]:
+            return False
+        self.rows[ref] -= 1
+        if not self.rows[ref]:
+            return self.delete(digest, n_bytes)
+        if not ids and doc_id is not None:
+            self.stale[ref] = True
+        return True
+
     def _place(self, ref: int) -> bool:
         place, mark = self._marks(self.keys[ref][0])
         bucket = place & self.mask
@@ -121,36 +152,53 @@ class CuckooIndex:
                 return
 
     def entries(self) -> Iterator[tuple[bytes, int, int | None, int]]:
-        for key, best, rows in zip(self.keys, self.best, self.rows, strict=True):
-            if key is not None:
-                yield key[0], key[1], best, rows
+        for (digest, n_bytes), ids, rows, _ in self._stored():
+            yield digest, n_bytes, ids[0] if ids else None, rows
 
+    def _stored(self) -> Iterator[tuple]:
+        return (x for x in zip(self.keys, self.ids, self.rows, self.stale, strict=True) if x[0] is not None)
+
+    def drain(self, keep: tuple[bytes, int] | None = None) -> pa.RecordBatch:
+        """The entries as a batch, each deleted here; the entry of `keep` stays."""
+        found = [x for x in self._stored() if x[0] != keep]
+        for key, *_ in found:
+            self.delete(*key)
+        left = list(self._stored())
+        self.keys, self.ids, self.rows, self.stale = (list(x) for x in zip(*left, strict=True)) if left else ([], [], [], [])
+        self._clear(self.mask + 1)
+        for ref in range(len(left)):
+            self._place(ref)
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
+        cols = list(zip(*((k[0], k[1], ids[0] if ids else None, rows, ids[1:], stale) for k, ids, rows, stale in found), strict=True)) if found else [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [f.split()[0] for f in ENTRY.split(", ")])
 
-def _batch(index: CuckooIndex) -> pa.RecordBatch:
-    digest, n_bytes, best, rows = zip(*index.entries(), strict=True) if index.live else ((), (), (), ())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(digest, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(best, pa.int64()), pa.array(rows, pa.int64())],
-        ["digest", "n_bytes", "keep_id", "group_size"],
-    )
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = CuckooIndex()
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for row in _rows(batch):
             index.insert(*row)
         if index.live > FOLD_ENTRIES:
-            yield _batch(index)
-            index = CuckooIndex()
-    yield _batch(index)
+            yield index.drain()
+    yield index.drain()
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ENTRY and step, ordered by digest and step: 0 and 2 insert an entry, 1 takes a document."""
     index = CuckooIndex()
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            index.insert(*row)
-    yield _batch(index)
+        for digest, n_bytes, doc_id, rows, spare, stale, step in _rows(batch):
+            if index.live > LIVE_ENTRIES:
+                yield index.drain(keep=(digest, n_bytes))
+            if step == 1:
+                index.remove(digest, n_bytes, doc_id)
+            else:
+                index.insert(digest, n_bytes, doc_id, rows, spare, stale)
+    yield index.drain()
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -158,37 +206,43 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.sha2(whole_text(), 256)).alias("digest"), F.octet_length(whole_text()).cast("long").alias("n_bytes"))
 
 
+def _merged(entries: DataFrame) -> DataFrame:
+    return entries.repartition("digest").sortWithinPartitions("digest", "n_bytes", "step").mapInArrow(_apply, ENTRY)
+
+
 def build_index(docs: DataFrame) -> DataFrame:
-    """One entry per distinct text: digest, n_bytes, keep_id, group_size. Writable as a table."""
+    """One entry per distinct text: digest, n_bytes, keep_id, group_size, spare, stale. Writable as a table."""
     rows = digests(docs).select("digest", "n_bytes", "doc_id", F.lit(1).cast("long").alias("n"))
-    return rows.mapInArrow(_fold, ENTRY).repartition("digest").mapInArrow(_merge, ENTRY)
+    return _merged(rows.mapInArrow(_fold, ENTRY).withColumn("step", F.lit(0)))
 
 
 def update_index(index: DataFrame, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
-    """The index after deleting the texts of `deleted` and then adding those of `inserted`."""
-    stored = index.select("digest", "n_bytes", "keep_id", "group_size", F.lit(0).alias("step"))
+    """The index after taking out the rows of `deleted` (doc_id, text) and then adding those of `inserted`.
+
+    Each row of `deleted` takes one row with its doc_id and text; rows that the index can tell it
+    never had are ignored.
+    """
+    names = [f.split()[0] for f in ENTRY.split(", ")]
+    steps = index.select(*names, F.lit(0).alias("step"))
     if deleted is not None:
-        gone = digests(deleted).select("digest", "n_bytes").distinct()
-        stored = stored.unionByName(gone.select("digest", "n_bytes", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(1).alias("step")))
+        gone = digests(deleted).select("digest", "n_bytes", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.array().cast("array<long>").alias("spare"), F.lit(False).alias("stale"), F.lit(1).alias("step"))
+        steps = steps.unionByName(gone)
     if inserted is not None:
-        stored = stored.unionByName(build_index(inserted).withColumn("step", F.lit(2)))
-    return stored.repartition("digest").sortWithinPartitions("step").mapInArrow(_apply, ENTRY)
+        steps = steps.unionByName(build_index(inserted).withColumn("step", F.lit(2)))
+    return _merged(steps)
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = CuckooIndex()
-    for batch in batches:
-        for digest, n_bytes, keep_id, rows, step in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if step == 1:
-                index.delete(digest, n_bytes)
-            else:
-                index.insert(digest, n_bytes, keep_id, rows)
-    yield _batch(index)
+def renamed(index: DataFrame, docs: DataFrame) -> DataFrame:
+    """The index with the keepers of stale entries looked up among docs, the corpus as it is now."""
+    stale = index.where("stale").select("digest", "n_bytes")
+    found = digests(docs).join(stale, ["digest", "n_bytes"]).groupBy("digest", "n_bytes").agg(F.max("doc_id").alias("largest"))
+    both = index.join(found, ["digest", "n_bytes"], "left")
+    return both.select("digest", "n_bytes", F.when(F.col("stale"), F.col("largest")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size", F.when(F.col("stale"), F.array().cast("array<long>")).otherwise(F.col("spare")).alias("spare"), F.lit(False).alias("stale"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, n_bytes for every row of docs."""
-    index = build_index(docs)
+    index = build_index(docs).select("digest", "n_bytes", "keep_id", "group_size")
     return (
         digests(docs)
         .join(index, ["digest", "n_bytes"])
