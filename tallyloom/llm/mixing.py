@@ -3,9 +3,10 @@
 Each source gets a word budget. Whole copies of the source are taken while they fit; what remains
 of the budget is fitted exactly, not by drawing until it is spent: documents are counted by their
 exact length, each length gives its share of the remainder rounded down, the largest lengths that
-still fit are topped up, and a bounded-knapsack dynamic program over the counts fills the last gap
-as closely as any subset can. A seeded hash then says which documents of a length are meant, so
-reruns agree. Lengths and counts are all that the fit sees; texts are read once, for their sizes.
+still fit are topped up, and a bounded-knapsack dynamic program over the counts, which may take back
+some of the shares and look on both sides of the budget, ends as near to it as any subset of the
+documents can. A seeded hash then says which documents of a length are meant, so reruns agree.
+Lengths and counts are all that the fit sees; texts are read once, for their sizes.
 
 A length that a third of all rows share is ranked without gathering it: rows of a (source, length)
 pair are cut into about sqrt(n) hash ranges, the ranges are counted, and only the range in which
@@ -31,7 +32,7 @@ from tallyloom.llm.common import durable, unused, whole_text
 WORD = r"[^\x20\x09-\x0D]+"
 #: No document is taken more often.
 MAX_REPEATS = 3
-#: Words that the dynamic program spans: the greedy fill leaves it a gap of at most so many.
+#: Words that the dynamic program takes back at first; eight times more while the sum isn't the nearest possible.
 DP_WORDS = 32_768
 SEED = 7
 
@@ -66,29 +67,49 @@ def source_targets(by_source: DataFrame, cycle: int = 3, max_repeats: int = MAX_
 def fit_counts(lengths: list[int], counts: list[int], budget: int, window: int = DP_WORDS) -> list[int]:
     """How many documents of each length to take so that their words come nearest to budget.
 
-    0 <= result[i] <= counts[i]. Proportional shares first, then the largest lengths that fit
-    until less than `window` words are open, then the exact bounded knapsack on what is left.
+    0 <= result[i] <= counts[i]; of two sums as near the smaller. Proportional shares first, then the
+    largest lengths that fit until less than `window` words are open. A bounded knapsack then takes
+    back documents of `window` words, shortest first, and fills the gap anew. It ends when the sum is
+    the nearest multiple of the lengths' common divisor, or when so many documents were free to go
+    that more can't help: changes that lead from one sum to another can be ordered so that what they
+    add up to stays within a longest document of the way, and changes between two equal sums cancel.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
-    budget = max(0, min(budget, total))
-    if not total:
-        return [0] * len(lengths)
-    take = [c * budget // total for c in counts]
+    if budget >= total or budget <= 0:
+        return list(counts) if budget > 0 else [0] * len(lengths)
+    used = [i for i, (n, c) in enumerate(zip(lengths, counts, strict=True)) if n > 0 and c > 0]
+    unit = math.gcd(*(lengths[i] for i in used))
+    take = [c * budget // total if n > 0 else 0 for n, c in zip(lengths, counts, strict=True)]
     gap = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    order = sorted(used, key=lambda i: -lengths[i])
     for i in order:
         if gap < window:
             break
-        if lengths[i] > 0:
-            more = min(counts[i] - take[i], (gap - window) // lengths[i] + 1, gap // lengths[i])
-            if more > 0:
-                take[i] += more
-                gap -= more * lengths[i]
-    # Bounded knapsack over word sums as the bits of an integer; counts split into powers of two.
-    mask, reach, steps = (1 << gap + 1) - 1, 1, []
+        more = min(counts[i] - take[i], (gap - window) // lengths[i] + 1, gap // lengths[i])
+        if more > 0:
+            take[i] += more
+            gap -= more * lengths[i]
+    enough = gap + 2 * lengths[order[0]] + 2  # documents of a length that a best change takes or gives at most
+    nearest = min(budget % unit, -budget % unit)
+    while True:
+        base, freed = list(take), 0
+        for i in reversed(order):
+            back = min(take[i], enough, (window - freed) // lengths[i])
+            base[i] -= back
+            freed += back * lengths[i]
+        last = all(base[i] == max(0, take[i] - enough) for i in order)
+        result, reached = _knapsack(lengths, [min(counts[i] - base[i], take[i] - base[i] + enough) for i in range(len(lengths))], gap + freed, order)
+        if last or abs(reached - gap - freed) <= nearest:
+            return [b + r for b, r in zip(base, result, strict=True)]
+        window *= 8
+
+
+def _knapsack(lengths: list[int], counts: list[int], gap: int, order: list[int]) -> tuple[list[int], int]:
+    """Documents of each length whose words come nearest to gap, and their words."""
+    # Word sums are the bits of an integer; counts split into powers of two.
+    mask, reach, steps = (1 << gap + lengths[order[0]] + 1) - 1, 1, []
     for i in order:
-        left = min(counts[i] - take[i], gap // lengths[i]) if lengths[i] else 0
-        piece = 1
+        left, piece = min(counts[i], gap // lengths[i] + 1), 1
         while left > 0 and not reach >> gap & 1:
             piece = min(piece, left)
             grown = reach | reach << piece * lengths[i] & mask
@@ -97,12 +118,16 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, window: int =
                 reach = grown
             left -= piece
             piece *= 2
-    at = reach.bit_length() - 1
+    below = (reach & (1 << gap + 1) - 1).bit_length() - 1
+    above = reach >> gap
+    over = (above & -above).bit_length() - 1 if above else gap + 1
+    at = words = below if gap - below <= over else gap + over
+    out = [0] * len(lengths)
     for i, piece, earlier in reversed(steps):
         if not earlier >> at & 1:
-            take[i] += piece
+            out[i] += piece
             at -= piece * lengths[i]
-    return take
+    return out, words
 
 
 def _fit(group: pd.DataFrame) -> pd.DataFrame:
