@@ -1,7 +1,7 @@
 """Quality by co-training two views of a page.
 
-The content view measures the running text (case, symbols, repetition, word forms), the metadata
-view what is known of the page without reading it (source, language, lengths, line layout). Each
+The content view measures the text (case, symbols, repetition, word forms, line layout), the metadata
+view what is stated of the page and never reads the text (source, language, stated length). Each
 view has its own logistic classifier. Over ROUNDS rounds each labels the unlabelled rows it is
 surest of and hands them to the other view's training set. Then both are calibrated on labelled
 rows that neither was trained on (Platt), and a logistic combination of the calibrated views, fitted
@@ -12,7 +12,7 @@ unlabelled rows, as feature vectors of fixed length; texts never reach the drive
 come from whole texts, and all rows are scored.
 
 Defined cases: null text counts as empty, null source and language as values of their own, null
-n_chars as the text's length. Labels that are null or without a document are left out; a document
+n_chars as a stated length of its own kind. Labels that are null or without a document are left out; a document
 labelled twice takes the lower label. With no label of one class every score is 1 and every row is
 kept. Repeated rows give repeated rows; extra columns pass through keep(); an empty table gives no
 rows.
@@ -43,8 +43,10 @@ KEEP = 0.5
 HASHED = 16
 
 SYMBOLS = "!|#$%&*=+~^<>{}[]\\@_"
-TEXT_FEATURES = 6 + len(SYMBOLS) + 10
-META_FEATURES = 2 * HASHED + 7
+TEXT_FEATURES = 6 + len(SYMBOLS) + 10 + 6
+#: Stated lengths are told apart by powers of four.
+LENGTHS = 12
+META_FEATURES = 2 * HASHED + 2 + LENGTHS
 
 
 def text_view(text: str) -> list[float]:
@@ -59,10 +61,12 @@ def text_view(text: str) -> list[float]:
     twins = sum(map(eq, words, words[1:]))
     distinct = len(set(words))
     ends = sum(text.count(e) for e in (". ", ".\n")) + text.endswith(".")
+    sizes = [len(x) for x in text.split("\n")]
     return [
         upper / max(1, upper + lower), digits / chars, 1 - int(raw[:128].sum()) / chars, shouted / n, twins / n, 1 - distinct / n,
         *(np.sqrt(c / n) for c in counts),
         np.log1p(sum(counts)), np.log1p(n), chars / n / 10, ends / n, text.count(",") / n, float(shouted > 0), float(twins > 2), np.log1p(twins), np.log1p(shouted), float(sum(counts) > 0.2 * n),
+        np.log1p(len(text)), np.log1p(len(sizes)), np.log1p(max(sizes)), np.log1p(len(text) / len(sizes)), sum(s < 30 for s in sizes) / len(sizes), int(raw.sum()) / chars - 1,
     ]
 
 
@@ -72,16 +76,16 @@ def _mark(value: str | None) -> list[float]:
     return out
 
 
-def meta_view(source: str | None, lang: str | None, n_chars: int | None, text: str) -> list[float]:
-    """Page metadata in META_FEATURES numbers: where from, which language, how long, what layout."""
-    size = len(text) if n_chars is None else n_chars
-    lines = text.split("\n")
-    sizes = [len(x) for x in lines]
-    return [*_mark(source), *_mark(lang), np.log1p(max(0, size)), np.log1p(len(lines)), np.log1p(max(sizes)), np.log1p(len(text) / len(lines)), sum(s < 30 for s in sizes) / len(lines), len(text.encode()) / max(1, len(text)) - 1, float(size != len(text))]
+def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
+    """Page metadata in META_FEATURES numbers: where from, which language, how long by its own account."""
+    size = max(0, n_chars or 0)
+    length = [0.0] * LENGTHS
+    length[min(LENGTHS - 1, size.bit_length() // 2)] = 1.0
+    return [*_mark(source), *_mark(lang), np.log1p(size), float(n_chars is None), *length]
 
 
 def _vectors(text, source, lang, n_chars) -> np.ndarray:
-    return np.array([text_view(t) + meta_view(s, g, c, t) for t, s, g, c in zip(text, source, lang, n_chars, strict=True)], float).reshape(-1, TEXT_FEATURES + META_FEATURES)
+    return np.array([text_view(t) + meta_view(s, g, c) for t, s, g, c in zip(text, source, lang, n_chars, strict=True)], float).reshape(-1, TEXT_FEATURES + META_FEATURES)
 
 
 class Logistic:
