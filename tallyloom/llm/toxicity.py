@@ -7,8 +7,9 @@ the sentences, so that the sentences which explain a label take the blame. The s
 locate the offending sentences.
 
 The fit sees a bounded sample: up to MAX_POSITIVE and MAX_NEGATIVE labelled documents in the order
-of a seeded hash, of at most MAX_CHARS characters each (longer ones are scored whole, just not
-trained on). The rest runs on all rows: the model, a few thousand word weights, is broadcast.
+of a seeded hash, and of each class as many of these, whole and whatever their length, as begin
+within the first MAX_CHARS characters. The rest runs on all rows: the model, a few thousand word
+weights, is broadcast.
 
 Defined cases: null and empty texts have no sentence: they score the model's prior for an empty
 sentence, as any document does at least. Labels that are null, or whose documents are missing, are
@@ -26,21 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import slices, whole_text
 
 MAX_POSITIVE = 2_500
 MAX_NEGATIVE = 5_000
-MAX_CHARS = 40_000
+MAX_CHARS = 12_000_000
 #: A feature enters if its documents are toxic so many standard deviations more (or less) often
 #: than all are, and if it occurs in so many documents: most words say nothing.
 LEAST_DOCUMENTS = 5
 LEAST_DEVIATION = 5.0
-EPOCHS = 120
+EPOCHS = 240
 RATE = 0.08
-RIDGE = 2e-3
+RIDGE = 2e-4
 THRESHOLD = 0.7
 #: Words remembered with their weight by a worker.
 REMEMBERED = 200_000
@@ -120,8 +121,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     sentence = np.repeat(np.arange(len(owner)), np.diff(bounds))
     w, b = np.zeros(len(names)), -5.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    # Rare positives weigh as much in sum as half of the negatives.
-    weight = np.where(y > 0, max(1.0, 0.5 * (y == 0).sum() / y.sum()), 1.0) / len(y)
+    # Rare positives weigh as much in sum as the negatives.
+    weight = np.where(y > 0, max(1.0, (y == 0).sum() / y.sum()), 1.0) / len(y)
     for step in range(1, EPOCHS + 1):
         by_word = np.bincount(word_of, w[feature], len(words))
         z = np.clip(b + np.bincount(sentence, by_word[rows], len(owner)), -30, 30)
@@ -161,12 +162,13 @@ def score_text(text: str, model: Model, words: dict[str, float]) -> tuple[float,
 def training_sample(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, toxic, text of the bounded sample; rows with crc32(doc_id) mod 3 = 1 never enter."""
     marks = labels.where("toxic is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    fits = docs.where((F.length(whole_text()) <= MAX_CHARS) & F.col("doc_id").isNotNull()).select("doc_id")
-    known = marks.join(fits.distinct(), "doc_id")
+    known = marks.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id")
     order = F.xxhash64(F.lit(seed), "doc_id")
     drawn = known.where("toxic = 1").orderBy(order, "doc_id").limit(MAX_POSITIVE).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(MAX_NEGATIVE))
-    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(drawn), "doc_id")
-    return texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # A window over the bounded sample only.
+    before = Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return texts.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("before") < MAX_CHARS).select("doc_id", "toxic", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Model:
