@@ -156,7 +156,7 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int
     return out
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_account long, n_url long"
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_account long, n_url long, n_found long"
 
 
 def listed(found: dict[str, list[tuple[int, int]]], kinds) -> str:
@@ -170,14 +170,14 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(1).to_pylist():
             found = spans(text, anchors)
             base = listed(found, BASE)
-            rows.append((*(len(found[k]) for k in BASE), hashlib.sha256(base.encode()).hexdigest(), listed(found, KINDS), len(found["account"]), len(found["url"])))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+            rows.append((*(len(found[k]) for k in BASE), hashlib.sha256(base.encode()).hexdigest(), listed(found, KINDS), len(found["account"]), len(found["url"]), sum(map(len, found.values()))))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 9
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 3
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [f.split()[0] for f in FOUND.split(", ")])
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """Counts, digest of the base spans and all spans of every row of docs."""
+    """Counts, digest of the base spans and all spans of every row of docs; n_found counts spans of any kind."""
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(_find, FOUND)
 
 
