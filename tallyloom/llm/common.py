@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from tallyloom.shipping import ship
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session runs in one process and names no folder, as in tests.
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/tallyloom"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); set here only if unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a folder of this machine only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = DEFAULT_CHECKPOINT_DIR
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
