@@ -2,7 +2,8 @@
 
 Writes completed counts of the native pass by model, and with a mask the prediction table, errors by
 group, seed summaries and model pairs; then config.json and artifacts.json. A model that fails is a
-row of the status table, the others go on; the exit code is 1 then.
+row of the status table, the others go on; the exit code is 1 then. A table that breaks the rules is
+refused with code, entity, time, column and line as JSON on the error stream, exit code 2.
 """
 
 from __future__ import annotations
@@ -12,29 +13,61 @@ import json
 import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import imputers, masking, neighbours, residual, scoring
+from tallyloom.operators import imputers, logratio, masking, neighbours, residual, scoring
 from tallyloom.plans import protocol
 from tallyloom.sources import tables
 
 
-def panel_of(spark: SparkSession, data: str, schema: tables.PanelSchema) -> DataFrame:
-    """The checked panel of a CSV: entity numbers by rank, days by the kind of time."""
-    panel = tables.panel_from(tables.read_csv(spark, data, schema), schema)
-    tables.check(panel)
+def panel_of(spark: SparkSession, data: str, schema: tables.PanelSchema, base: Path = Path(".")) -> DataFrame:
+    """The checked panel of a CSV; TableError names what is wrong, where and in which line.
+
+    row_id and e are unique and rise with (entity, days); days are days, numbers or ranks by the
+    kind of time. base: the folder that a relative group map is looked for in.
+    """
+    raw = tables.read_csv(spark, data, schema)
+    panel = tables.panel_from(raw, schema)
+    where = lambda entity, time: tables.line_of(spark, data, schema, entity, time)
+    tables.check(panel, tables.cell_problems(raw, schema), where)
     rows, _ = tables.parse_times(panel, "time", schema.time_format) if schema.time else (panel.withColumn("days", F.lit(0)), "label")
-    if "grp" not in rows.columns:
-        rows = rows.withColumn("grp", F.lit("all"))
-    ranks = rows.select("entity").distinct().withColumn("e", (F.dense_rank().over(Window.orderBy("entity")) - 1).cast("long"))
-    named = rows.join(F.broadcast(ranks), "entity").withColumn("days", F.col("days").cast("long"))
-    return named.select((F.col("e") * 100_000 + F.col("days")).alias("row_id"), "e", "entity", "grp", "days", "n", "c")
+    rows = tables.grouped(spark, rows, schema, base)
+    again = rows.groupBy("entity", "days").agg(F.count(F.lit(1)).alias("k")).where("k > 1").orderBy("entity", "days").first() if schema.time else None
+    if again:
+        raise tables.TableError(f"repeated_time: entity {again['entity']!r}, times that mean the same day {again['days']}")
+    named = rows.join(tables.numbered(rows, "entity").withColumnRenamed("number", "e"), "entity")
+    whole = named.agg(F.bool_and(F.col("days") == F.floor("days")).alias("whole")).first()["whole"]
+    placed = named.withColumn("days", F.col("days").cast("long" if whole else "double")).orderBy("entity", "days")
+    return placed.select(F.monotonically_increasing_id().alias("row_id"), "e", "entity", "grp", "days", "n", "c")
+
+
+def neighbour_model(panel: DataFrame) -> DataFrame:
+    """Jensen-Shannon neighbours as proposals; complete rows propose nothing."""
+    near = neighbours.tsagris(panel).select("row_id", F.slice("x", F.lit(1), F.size("x") - 1).alias("p"))
+    return panel.join(near, "row_id", "left").withColumn("p", F.coalesce("p", F.transform("c", lambda v: F.lit(0.0))))
+
+
+def log_ratio_model(panel: DataFrame, d: int, other: bool) -> DataFrame:
+    """The log-ratio fit, which splits the residual by itself: the panel with filled."""
+    rows, fit, _ = logratio.fit(panel, d, other)
+    done = logratio.restored(rows, fit.beta, other).select("row_id", "filled")
+    return panel.join(done, "row_id", "left").withColumn("filled", F.coalesce("filled", "c"))
+
+
+#: Models that split the residual by a rule of their own: no other rule applies to them.
+OWN_RULE = ("micoda", "micoda_other")
 
 
 def models_of(d: int) -> dict:
-    """Registered models: panel -> panel with proposals."""
-    return imputers.MODELS | {"mean_fill": lambda p: imputers.mean_fill(p, d), "hron": lambda p: imputers.with_proposals(p, neighbours.hron(p))}
+    """Registered models: panel -> panel with proposals (p) or counts (filled)."""
+    return imputers.MODELS | {
+        "mean_fill": lambda p: imputers.mean_fill(p, d),
+        "hron": lambda p: imputers.with_proposals(p, neighbours.hron(p)),
+        "tsagris": neighbour_model,
+        "micoda": lambda p: log_ratio_model(p, d, False),
+        "micoda_other": lambda p: log_ratio_model(p, d, True),
+    }
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -42,11 +75,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--data", required=True)
     parser.add_argument("--schema", required=True)
     parser.add_argument("--output", required=True)
-    parser.add_argument("--mask", choices=("none", "random_cell"), default="none")
+    parser.add_argument("--mask", choices=masking.KINDS, default="none")
     parser.add_argument("--mask-rate", type=float, default=0.05)
     parser.add_argument("--seeds", type=int, nargs="+", default=[0, 1, 2, 3, 4])
     parser.add_argument("--only", nargs="+")
-    parser.add_argument("--rule", choices=residual.RULES, default="cap")
+    parser.add_argument("--rule", choices=residual.RULES)
     args = parser.parse_args(argv)
     masking.validate_mask(args.mask, args.mask_rate)
     out = Path(args.output)
@@ -56,21 +89,35 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     known = models_of(len(schema.targets))
     if unknown := set(args.only or []) - set(known):
         parser.error(f"unknown models: {sorted(unknown)}")
+    chosen = args.only or sorted(known)
+    if args.rule and (own := [n for n in chosen if n in OWN_RULE]):
+        parser.error(f"--rule doesn't apply to {own}")
+    rule = args.rule or "cap"
     spark = spark or SparkSession.builder.appName("tallyloom").getOrCreate()
-    panel = panel_of(spark, args.data, schema).persist()
+    try:
+        panel = panel_of(spark, args.data, schema, Path(args.schema).resolve().parent)
+    except tables.TableError as error:
+        stated = {k: getattr(error, k, None) for k in ("code", "entity", "time", "feature", "line")}
+        print(json.dumps({"error": str(error)} | stated), file=sys.stderr)
+        return 2
     out.mkdir(parents=True)
+    panel.write.parquet(str(out / "panel"))  # numbers of rows stand from here on, whatever is lost
+    panel = spark.read.parquet(str(out / "panel"))
     status = []
-    for name in args.only or sorted(known):
+    for name in chosen:
         try:
-            filled = residual.fill(known[name](panel), args.rule)
+            filled = known[name](panel)
+            filled = filled if "filled" in filled.columns else residual.fill(filled, rule)
             broken = residual.violations(filled).count()
             tables.write_completed(filled, str(out / f"completed_{name}"), schema.targets)
             status.append({"model": name, "pass": "native", "status": "partial" if broken else "completed", "violations": broken})
         except Exception as error:  # noqa: BLE001  one model's failure is a result
-            status.append({"model": name, "pass": "native", "status": "failed", "error": str(error)[:500]})
+            status.append({"model": name, "pass": "native", "status": "failed", "code": type(error).__name__, "error": str(error)[:500]})
     if args.mask != "none":
-        names = [n for n in ("zero_fill", "mean_fill", "same_day_mean") if not args.only or n in args.only]
-        rows = scoring.predictions(panel, names, args.seeds, args.mask_rate, args.rule)
+        by_seed = ("zero_fill", "mean_fill", "same_day_mean")  # these take all seeds in one plan
+        names = [s["model"] for s in status if s["status"] != "failed"]
+        one = {n: known[n] for n in names if n not in by_seed}
+        rows = scoring.predictions(panel, names, args.seeds, args.mask_rate, rule, args.mask, one)
         tables.write_predictions(rows, str(out / "predictions"))
         rows = tables.read_predictions(spark, str(out / "predictions"))
         errors = scoring.masked_errors(rows, ["model", "seed"])

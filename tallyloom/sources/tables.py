@@ -94,6 +94,15 @@ def panel_from(raw: DataFrame, schema: PanelSchema) -> DataFrame:
     return raw.select(F.trim(schema.entity).alias("entity"), (F.trim(schema.time) if schema.time else F.lit(None).cast("string")).alias("time"), (number(F.col(schema.total)) if schema.total else known).alias("n"), counts.alias("c"), *([F.col(schema.group_col).alias("grp")] if schema.group_col and schema.group_col in raw.columns else []))
 
 
+def cell_problems(raw: DataFrame, schema: PanelSchema) -> DataFrame:
+    """entity, time, feature, code of rows with a wrong number of fields and of cells that can't be read."""
+    asked = [(t, schema.total is not None) for t in schema.targets] + ([(schema.total, False)] if schema.total else [])
+    cells = [F.struct(F.lit(c).alias("feature"), F.when(~F.col("broken"), cell_code(F.col(c), may_lack)).alias("code")) for c, may_lack in asked]
+    width = F.struct(F.lit(None).cast("string").alias("feature"), F.when(F.col("broken"), "wrong_width").alias("code"))
+    time = F.col(schema.time) if schema.time else F.lit(None).cast("string")
+    return raw.select(F.col(schema.entity).alias("entity"), time.alias("time"), F.explode(F.array(width, *cells)).alias("p")).select("entity", "time", "p.*").where("code is not null")
+
+
 def violations(panel: DataFrame) -> DataFrame:
     """entity, time, code of rows that break a rule: blanks, repeated keys, totals."""
     known = F.aggregate("c", F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
@@ -108,10 +117,32 @@ def violations(panel: DataFrame) -> DataFrame:
     return rows.unionByName(twice)
 
 
-def check(panel: DataFrame) -> None:
-    first = violations(panel).orderBy("code", "entity", "time").first()
+def line_of(spark: SparkSession, path: str, schema: PanelSchema, entity: str | None, time: str | None) -> int | None:
+    """The first line of a CSV with that entity and time; looked for only when a row is refused."""
+    lines = spark.read.text(path)
+    names = [n.strip('"') for n in lines.first()[0].lstrip("\ufeff").split(",")]
+    numbered = lines.rdd.map(lambda r: r[0]).zipWithIndex().toDF("value string, line long").where("line > 0")
+    row = F.from_csv("value", ", ".join(f"`{n}` string" for n in names)).alias("r")
+    same = lambda c, v: F.col(f"r.`{c}`").eqNullSafe(F.lit(v))
+    found = numbered.select("line", row).where(same(schema.entity, entity) & (same(schema.time, time) if schema.time else F.lit(True))).agg(F.min("line").alias("line")).first()
+    return None if found["line"] is None else found["line"] + 1
+
+
+def check(panel: DataFrame, more: DataFrame | None = None, where=None) -> None:
+    """Raises the first problem by code, entity and time; more: further rows entity, time, feature, code."""
+    found = violations(panel).withColumn("feature", F.lit(None).cast("string"))
+    found = found if more is None else more.unionByName(found)
+    first = found.orderBy(F.col("feature").isNull(), "code", "entity", "time", "feature").first()
     if first:
-        raise TableError(f"{first['code']}: entity {first['entity']!r}, time {first['time']!r}")
+        error = TableError(f"{first['code']}: entity {first['entity']!r}, time {first['time']!r}" + (f", column {first['feature']!r}" if first["feature"] else ""))
+        error.code, error.entity, error.time, error.feature = first["code"], first["entity"], first["time"], first["feature"]
+        error.line = where(first["entity"], first["time"]) if where else None
+        raise error
+
+
+def numbered(rows: DataFrame, *by: str) -> DataFrame:
+    """Distinct values of `by` in order with number: unique and rising, from one range sort, not dense."""
+    return rows.select(*by).distinct().orderBy(*by).withColumn("number", F.monotonically_increasing_id())
 
 
 def parse_times(rows: DataFrame, column: str, fmt: str | None = None) -> tuple[DataFrame, str]:
@@ -131,8 +162,15 @@ def parse_times(rows: DataFrame, column: str, fmt: str | None = None) -> tuple[D
         return rows.withColumn("days", days).withColumn("week", F.floor(days / 7)), "date"
     if all_["numbers"]:
         return rows.withColumn("days", number(text)), "numeric"
-    ranks = rows.select(text.alias("_t")).distinct().withColumn("days", (F.dense_rank().over(Window.orderBy("_t")) - 1).cast("long"))
-    return rows.join(F.broadcast(ranks), text == F.col("_t")).drop("_t"), "label"
+    some = rows.agg(F.bool_or(iso).alias("iso")).first()
+    if not fmt and some["iso"]:
+        raise TableError("some times are YYYY-MM-DD dates and others aren't")
+    # Ranks within ranges of the labels, the ranges placed by their sizes: no task holds all labels.
+    placed = rows.select(text.alias("_t")).distinct().repartitionByRange("_t").sortWithinPartitions("_t").withColumn("_part", F.spark_partition_id()).persist()
+    starts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("k")).select("_part", (F.sum("k").over(Window.orderBy("_part")) - F.col("k")).alias("start"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_t")) - 1
+    ranks = placed.withColumn("own", own).join(F.broadcast(starts), "_part").select("_t", (F.col("start") + F.col("own")).cast("long").alias("days"))
+    return rows.join(ranks, text == F.col("_t")).drop("_t"), "label"
 
 
 def with_groups(rows: DataFrame, mapping: DataFrame, group: str) -> DataFrame:
@@ -140,6 +178,27 @@ def with_groups(rows: DataFrame, mapping: DataFrame, group: str) -> DataFrame:
     return rows.join(mapping.select(F.col("entity"), F.col(group).alias("grp")), "entity", "left")
 
 
+def grouped(spark: SparkSession, rows: DataFrame, schema: PanelSchema, base: Path) -> DataFrame:
+    """rows (entity, maybe grp) with grp: the CSV's column, else the schema's map, else one group for all."""
+    if schema.group_col is None:
+        return rows.withColumn("grp", F.lit("all"))
+    if "grp" in rows.columns:
+        if (empty := rows.where(F.coalesce(F.trim("grp"), F.lit("")) == "").first()) is not None:
+            raise TableError(f"empty_group: entity {empty['entity']!r}")
+        return rows.withColumn("grp", F.trim("grp"))
+    if schema.group_map is None:
+        raise TableError(f"{schema.group_col!r} is no column of the table and the schema has no group_map")
+    path = Path(schema.group_map)
+    lookup = spark.read.option("header", True).csv(str(path if path.is_absolute() else base / path))
+    if not {schema.entity, schema.group_col} <= set(lookup.columns):
+        raise TableError(f"the group map needs columns {schema.entity!r} and {schema.group_col!r}")
+    mapping = lookup.select(F.trim(schema.entity).alias("entity"), F.trim(schema.group_col).alias("g")).distinct()
+    for code, bad in (("empty_group", mapping.where(F.coalesce("g", F.lit("")) == "")), ("group_conflict", map_conflicts(mapping, "g")), ("no_group", unknown_entities(rows, mapping))):
+        if (first := bad.orderBy("entity").first()) is not None:
+            raise TableError(f"{code}: entity {first['entity']!r}")
+    return with_groups(rows, mapping, "g")
+
+
 def unknown_entities(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     return rows.select("entity").distinct().join(mapping.select("entity"), "entity", "left_anti")
 
@@ -153,6 +212,17 @@ def write_completed(filled: DataFrame, path: str, targets: tuple[str, ...]) -> N
     filled.select("entity", "days", "n", *(F.get("filled", F.lit(k)).alias(t) for k, t in enumerate(targets))).write.mode("errorifexists").option("header", True).csv(path)
 
 
+def read_completed(spark: SparkSession, path: str, targets: tuple[str, ...]) -> DataFrame:
+    """entity, days, n, filled of a folder that write_completed() wrote; null counts are refused."""
+    raw = spark.read.option("header", True).csv(path)
+    if not {"entity", "days", "n", *targets} <= set(raw.columns):
+        raise TableError(f"{path} lacks columns of a completed table")
+    rows = raw.select("entity", number(F.col("days")).alias("days"), number(F.col("n")).alias("n"), F.array(*(number(F.col(t)) for t in targets)).alias("filled"))
+    if not rows.where(F.exists("filled", lambda v: v.isNull())).isEmpty():
+        raise TableError(f"{path} has counts that are missing or unreadable")
+    return rows
+
+
 def write_predictions(rows: DataFrame, path: str) -> None:
     """The prediction table as Parquet by mask and model."""
     rows.write.mode("errorifexists").partitionBy("mask", "model").parquet(path)

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from tallyloom import panel as pn
 from tallyloom import run
-from tallyloom.operators import residual, staged
+from tallyloom.operators import cases, imputers, residual, sequences, staged
 from tallyloom.plans import protocol
+from tallyloom.sources import tables
 
 CSV = "place,day,n,a,b,c\n" + "".join(f"p{i % 4},2024-0{1 + i // 4}-01,{20 + i},{i % 5},{'NA' if i % 7 == 3 else 3},{(i * 3) % 8}\n" for i in range(24))
 SCHEMA = '[dataset]\nentity = "place"\ntime = "day"\ntotal = "n"\ntargets = ["a", "b", "c"]\n'
@@ -27,6 +28,93 @@ def test_runner_end_to_end(spark, tmp_path):
         run.main(args, spark)
 
 
+def written(tmp_path, csv, schema=SCHEMA):
+    (tmp_path / "t.csv").write_text(csv)
+    (tmp_path / "s.toml").write_text(schema)
+    return tables.read_schema(str(tmp_path / "s.toml"))
+
+
+@pytest.mark.parametrize(
+    ("row", "code", "feature"),
+    [
+        ("p9,2024-01-01,9,1,2\n", "wrong_width", None),
+        ("p9,2024-01-01,9,1,2,3,4\n", "wrong_width", None),
+        ("p9,2024-01-01,9,abc,2,3\n", "not_a_number", "a"),
+        ("p9,2024-01-01,9,1,-5,3\n", "negative", "b"),
+        ("p9,2024-01-01,,1,2,3\n", "missing", "n"),
+        ("p9,2024-01-01,5,1,2,3\n", "counts_exceed_total", None),
+        ("p1,2024-01-01,9,1,2,3\n", "repeated_key", None),
+    ],
+)
+def test_bad_rows_are_refused_by_entity_and_line(spark, tmp_path, capsys, row, code, feature):
+    written(tmp_path, CSV + row)
+    args = ["--data", str(tmp_path / "t.csv"), "--schema", str(tmp_path / "s.toml"), "--output", str(tmp_path / "out")]
+    assert run.main(args, spark) == 2 and not (tmp_path / "out").exists()
+    said = json.loads(capsys.readouterr().err.strip().splitlines()[-1])
+    assert (said["code"], said["entity"], said["feature"]) == (code, row.split(",")[0], feature)
+    assert said["line"] == (3 if code == "repeated_key" else 26)
+
+
+def test_times_and_numbers_of_rows(spark, tmp_path):
+    numeric = "place,day,n,a,b,c\nx,0.25,9,1,2,3\nx,0.5,9,1,2,3\nx,200001,9,1,2,3\ny,1,9,1,2,3\nz,1,9,1,2,3\n"
+    rows = run.panel_of(spark, str(tmp_path / "t.csv"), written(tmp_path, numeric)).collect()
+    assert len({r["row_id"] for r in rows}) == 5 and sorted(r["days"] for r in rows if r["entity"] == "x") == [0.25, 0.5, 200001]
+    labels = "place,day,n,a,b,c\n" + "".join(f"x,w{k:02},9,1,2,3\n" for k in (3, 1, 2))
+    rows = run.panel_of(spark, str(tmp_path / "t.csv"), written(tmp_path, labels)).orderBy("row_id").collect()
+    assert [r["days"] for r in rows] == [0, 1, 2]
+    for bad in ("x,2024-01-01,9,1,2,3\nx,1,9,1,2,3\n", "x,1.0,9,1,2,3\nx,1,9,1,2,3\n"):
+        with pytest.raises(tables.TableError):
+            run.panel_of(spark, str(tmp_path / "t.csv"), written(tmp_path, "place,day,n,a,b,c\n" + bad))
+
+
+def test_group_map(spark, tmp_path):
+    schema = written(tmp_path, CSV, SCHEMA + 'group_col = "area"\ngroup_map = "map.csv"\n')
+    mapped = lambda text: ((tmp_path / "map.csv").write_text("place,area\n" + text), run.panel_of(spark, str(tmp_path / "t.csv"), schema, tmp_path))[1]
+    got = {(r["entity"], r["grp"]) for r in mapped("p0,north\np1,north\np2,south\np3,south\np8,x\n").collect()}
+    assert got == {("p0", "north"), ("p1", "north"), ("p2", "south"), ("p3", "south")}
+    for bad in ("p0,north\n", "p0,a\np0,b\np1,a\np2,a\np3,a\n", "p0,\np1,a\np2,a\np3,a\n"):
+        with pytest.raises(tables.TableError):
+            mapped(bad)
+
+
+def test_six_targets_in_every_model_and_mask(spark, tmp_path):
+    names = "abcdef"
+    rows = [f"p{i % 4},2024-{1 + i // 4 % 12:02}-{1 + i // 48:02},{60 + i},{','.join('NA' if (i * 7 + k * 3) % 11 == 0 else str((i * (k + 2)) % 7 + k) for k in range(6))}" for i in range(96)]
+    written(tmp_path, "place,day,n," + ",".join(names) + "\n" + "\n".join(rows) + "\n", '[dataset]\nentity = "place"\ntime = "day"\ntotal = "n"\ntargets = ["a", "b", "c", "d", "e", "f"]\n')
+    for mask in ("random_cell", "whole_feature"):
+        out = tmp_path / mask
+        args = ["--data", str(tmp_path / "t.csv"), "--schema", str(tmp_path / "s.toml"), "--output", str(out), "--mask", mask, "--mask-rate", "0.1", "--seeds", "1"]
+        only = ["--only", "mean_fill", "hron", "tsagris", "micoda", "micoda_other"] if mask == "random_cell" else ["--only", "mean_fill"]
+        assert run.main(args + only, spark) == 0
+        got = spark.read.parquet(str(out / "predictions"))
+        assert got.where("t >= 4").groupBy("model").agg(F.avg("pred_count").alias("x")).where("x <= 0").count() == 0
+        done = tables.read_completed(spark, str(out / "completed_mean_fill"), tuple(names))
+        assert done.count() == 96
+    with pytest.raises(SystemExit):
+        run.main(["--data", "x", "--schema", str(tmp_path / "s.toml"), "--output", str(tmp_path / "no"), "--only", "micoda", "--rule", "rescale"], spark)
+
+
+def test_unseen_target_and_long_entities(spark):
+    rows = [(i, 0, "x", "g", i, 9.0, [1.0, None]) for i in range(5)]
+    panel = spark.createDataFrame(rows, "row_id long, e long, entity string, grp string, days long, n double, c array<double>")
+    with pytest.raises(Exception, match="no observed value of target 1"):
+        imputers.mean_fill(panel).collect()
+    assert sequences.unpacked(sequences.packed(panel, 3)).count() == 5
+
+
+def test_flags_and_verdicts(spark):
+    pred = spark.createDataFrame([("m", 1, 0, 5, 3.0, True), ("m", 1, 0, 50, 3.0, True), ("m", 1, 0, 60, 0.0, True), ("m", 1, 0, 7, 1.0, False)], "model string, seed long, t int, days long, pred_count double, truth_zero boolean")
+    spans = spark.createDataFrame([(1, 0, 0, 10)], "seed long, t int, first_day long, last_day long")
+    r = cases.flag_precision(cases.outside_span(pred, spans)).first()
+    assert (r["flagged"], r["unflagged"], r["p_flagged"], r["p_unflagged"], r["gap"]) == (1, 2, 1.0, 0.5, 0.5)
+    gaps = lambda n: spark.createDataFrame([(0.3,)] * n, "gap double")
+    assert [cases.flag_verdict(gaps(n)).first()["verdict"] for n in (8, 9)] == ["insufficient", "pass"]
+    rates = lambda xs: spark.createDataFrame([(x,) for x in xs], "rate double")
+    none = spark.createDataFrame([(0.0,)] * 9, "regret double")
+    assert [cases.verdict(rates(x), none).first()["verdict"] for x in ([1.0] * 3, [1.0] * 4, [1.0, 1.0, 1.0, 0.4])] == ["insufficient", "pass", "fail"]
+    assert cases.verdict(rates([1.0] * 4), none).first()["regret_ok"]
+
+
 def test_protocol(tmp_path):
     path = tmp_path / "c.toml"
     path.write_text('masks = ["random_cell"]\nseeds = [1, 2]\nmodels = ["a", "b"]\npairs = [["a", "b"]]\n')
