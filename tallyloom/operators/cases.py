@@ -34,18 +34,46 @@ def regret(cases: DataFrame) -> DataFrame:
     return best.select("seed", F.col("pick.model").alias("chosen"), (F.col("pick.error") - F.col("least")).alias("regret"))
 
 
-def verdict(rates: DataFrame, regrets: DataFrame, least_mean: float = 0.8, least_each: float = 0.5, least_cases: int = 4, most_regret: float = 0.005) -> DataFrame:
-    """One row: cases, mean and least rate, cases of small regret, passed."""
+def verdict(rates: DataFrame, regrets: DataFrame, least_mean: float = 0.8, least_each: float = 0.5, least_cases: int = 4, most_regret: float = 0.005, good_cases: int = 9) -> DataFrame:
+    """One row: cases, mean and least rate, verdict (pass, fail, insufficient below least_cases), cases of small regret, regret_ok."""
     a = rates.where("rate is not null").agg(F.count(F.lit(1)).alias("cases"), F.avg("rate").alias("mean_rate"), F.min("rate").alias("least_rate"))
     b = regrets.agg(F.count_if(F.col("regret") <= most_regret).alias("small_regret"), F.count(F.lit(1)).alias("regrets"))
-    passed = (F.col("cases") >= least_cases) & (F.col("mean_rate") >= least_mean) & (F.col("least_rate") >= least_each)
-    return a.join(F.broadcast(b)).withColumn("passed", F.coalesce(passed, F.lit(False)))
+    good = (F.col("mean_rate") >= least_mean) & (F.col("least_rate") >= least_each)
+    said = F.when(F.col("cases") < least_cases, "insufficient").when(good, "pass").otherwise("fail")
+    return a.join(F.broadcast(b)).withColumn("verdict", said).withColumn("regret_ok", F.col("small_regret") >= good_cases)
+
+
+def outside_span(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """rows with positive (filled with a count) and flag: positive on a day outside the target's days of positive visible counts.
+
+    spans: seed, t, first_day, last_day (null where a target has no positive count: every day is outside).
+    """
+    joined = rows.join(F.broadcast(spans), ["seed", "t"], "left").withColumn("positive", F.col("pred_count") >= 0.5)
+    outside = F.col("first_day").isNull() | (F.col("days") < F.col("first_day")) | (F.col("days") > F.col("last_day"))
+    return joined.withColumn("flag", F.col("positive") & outside)
 
 
 def flag_precision(cells: DataFrame) -> DataFrame:
-    """model, seed: mean error of flagged cells, of the others, and the share of flagged among wrong zeros."""
-    error = F.abs(F.col("pred_prop") - F.col("truth_prop"))
-    return cells.groupBy("model", "seed").agg(F.count_if("flag").alias("flagged"), F.avg(F.when(F.col("flag"), error)).alias("flagged_mae"), F.avg(F.when(~F.col("flag"), error)).alias("other_mae"), F.avg(F.when(F.col("flag"), F.col("truth_zero").cast("double"))).alias("precision"))
+    """model, seed: cells filled as positive, flagged and not, the share of true zeros in both, and its gap."""
+    zero = F.col("truth_zero").cast("double")
+    out = cells.where("positive").groupBy("model", "seed").agg(F.count_if("flag").alias("flagged"), F.count_if(~F.col("flag")).alias("unflagged"), F.avg(F.when(F.col("flag"), zero)).alias("p_flagged"), F.avg(F.when(~F.col("flag"), zero)).alias("p_unflagged"))
+    return out.withColumn("gap", F.col("p_flagged") - F.col("p_unflagged"))
+
+
+def flag_verdict(gaps: DataFrame, least_gap: float = 0.2, good_cases: int = 9) -> DataFrame:
+    """One row: cases with a gap, those of at least least_gap, verdict (insufficient below good_cases)."""
+    out = gaps.agg(F.count("gap").alias("cases"), F.count_if(F.col("gap") >= least_gap).alias("good"))
+    return out.withColumn("verdict", F.when(F.col("cases") < good_cases, "insufficient").when(F.col("good") >= good_cases, "pass").otherwise("fail"))
+
+
+def zero_gap(rows: DataFrame, visible_rates: DataFrame) -> DataFrame:
+    """model, seed, diagnostic: D1 of the model-decided cells without their truth, its size over targets weighted by cells.
+
+    visible_rates: seed, t, zero, the share of zeros among the visible cells.
+    """
+    per = rows.where("model_cell").groupBy("model", "seed", "t").agg(F.count(F.lit(1)).alias("cells"), F.avg((F.col("pred_count") < 0.5).cast("double")).alias("filled"))
+    gap = per.join(F.broadcast(visible_rates), ["seed", "t"]).withColumn("gap", F.abs(F.col("filled") - F.col("zero")))
+    return gap.groupBy("model", "seed").agg((F.sum(F.col("gap") * F.col("cells")) / F.sum("cells")).alias("diagnostic"))
 
 
 def hypothesis(pairs: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFrame:

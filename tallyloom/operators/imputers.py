@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import POOL, uniform
-from tallyloom.panel import cells
+from tallyloom.panel import cells, targets
 
 #: Rows of a pool that one window numbers.
 POOL_RANGE = 1 << 16
@@ -21,12 +21,15 @@ def zero_fill(panel: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def target_means(panel: DataFrame, d: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """mean, the unweighted mean of c / n by target (null for a target never seen): one row a panel."""
-    return panel.groupBy(*by).agg(F.array(*(F.avg(F.get("c", F.lit(k)) / F.col("n")) for k in range(d))).alias("p"))
+    """p, the unweighted mean of c / n by target (null for a target never seen): one row a panel."""
+    return panel.groupBy(*by).agg(F.array(*(F.avg(F.get("c", F.lit(k)) / F.col("n")) for k in range(d))).cast("array<double>").alias("p"))
 
 
-def mean_fill(panel: DataFrame, d: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
-    means = F.broadcast(target_means(panel, d, by))
+def mean_fill(panel: DataFrame, d: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """d: the number of targets, looked up if None. A target that was never observed is an error when the plan runs."""
+    unseen = lambda i: F.raise_error(F.concat(F.lit("no observed value of target "), i.cast("string"))).cast("double")
+    means = target_means(panel, targets(panel) if d is None else d, by)
+    means = F.broadcast(means.withColumn("p", F.transform("p", lambda v, i: F.coalesce(v, unseen(i)))))
     return panel.join(means, list(by)) if by else panel.join(means)
 
 

@@ -57,13 +57,13 @@ def _accepted(series: DataFrame, patterns: DataFrame) -> DataFrame:
     both = ordered.join(patterns.groupBy("e").agg(F.collect_set("bits").alias("shown")), "e")
 
     def step(taken: Column, draw: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1), draw["t"])
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), draw["t"])
         after = taken.bitwiseOR(bit)
         stuck = F.exists("shown", lambda p: (p.bitwiseAND(bit) != 0) & (p.bitwiseAND(F.bitwise_not(after)) == 0))
         return F.when(stuck, taken).otherwise(after)
 
-    taken = both.withColumn("taken", F.aggregate("draws", F.lit(0), step))
-    return taken.select("e", F.explode("draws").alias("d"), "taken").select("e", "d.t", "d.key", "d.size", (F.col("taken").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("d.t"))) != 0).alias("accepted"))
+    taken = both.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), step))
+    return taken.select("e", F.explode("draws").alias("d"), "taken").select("e", "d.t", "d.key", "d.size", (F.col("taken").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("d.t"))) != 0).alias("accepted"))
 
 
 def whole_feature(panel: DataFrame, rate: float, seed: int, weights: DataFrame | None = None) -> DataFrame:
@@ -83,7 +83,7 @@ def whole_feature(panel: DataFrame, rate: float, seed: int, weights: DataFrame |
         # -log(1 - u) / w is increasing in the drawing order; squeezed into [0, 1).
         raw = -F.log1p(-u) / F.col("w")
         series = series.join(weights.where("w > 0"), ["e", "t"]).withColumn("key", raw / (1 + raw)).drop("w")
-    bits = F.aggregate(F.transform("c", lambda v, i: F.when(v.isNotNull(), F.call_function("shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda a, b: a + b)
+    bits = F.aggregate(F.transform("c", lambda v, i: F.when(v.isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a + b)
     drawn = _accepted(series, panel.select("e", bits.alias("bits")).where("bits > 0").distinct())
     goal = seen.agg((F.count(F.lit(1)) * rate).alias("goal"))
     sized = before(drawn.withColumn("counts", F.when(F.col("accepted"), F.col("size")).otherwise(0)), F.col("key"), "counts", "hidden_before")

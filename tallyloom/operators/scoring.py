@@ -22,23 +22,45 @@ def visible(panel: DataFrame, hidden: Column) -> DataFrame:
     return marked.withColumn("c", F.zip_with("truth", "h", lambda v, h: F.when(~h, v)))
 
 
-def predictions(panel: DataFrame, models: list[str], seeds: list[int], rate: float = 0.1, rule: str = "cap") -> DataFrame:
-    """Prediction table of models under random-cell masks; the seeds are rows of one plan a model."""
+def hidden_cells(panel: DataFrame, mask: str, rate: float, seeds: list[int]) -> DataFrame:
+    """panel by seed with the hidden cells marked, as visible() gives it; the seeds are rows of one plan."""
     every = panel.withColumn("seed", F.explode(F.array(*(F.lit(s).cast("long") for s in seeds))))
-    shown = visible(every, masking.random_cell(rate, F.col("seed")))
+    if mask == "random_cell":
+        return visible(every, masking.random_cell(rate, F.col("seed")))
+    weights = masking.matched_weights(panel) if mask == "whole_feature_matched" else None
+    taken = None
+    for s in seeds:  # one small plan a seed: series, not cells
+        one = masking.whole_feature(panel, rate, s, weights).where("taken").groupBy("e").agg(F.collect_set("t").alias("series")).withColumn("seed", F.lit(s).cast("long"))
+        taken = one if taken is None else taken.unionByName(one)
+    joined = every.join(taken, ["e", "seed"], "left")
+    hidden = F.transform("c", lambda v, i: v.isNotNull() & F.coalesce(F.array_contains("series", i), F.lit(False)))
+    return visible(joined, hidden).drop("series")
+
+
+def predictions(panel: DataFrame, models: list[str], seeds: list[int], rate: float = 0.1, rule: str = "cap", mask: str = "random_cell", own: dict | None = None) -> DataFrame:
+    """Prediction table of models under a mask; the seeds are rows of one plan a model.
+
+    own: models (panel -> panel with p, or with filled) that take one panel at a time, by name.
+    """
+    shown = hidden_cells(panel, mask, rate, seeds)
     blind = shown.drop("truth", "h")  # the truth is absent, not just ignored
     answer = shown.select("row_id", "seed", "truth", "h").where(F.exists("h", lambda x: x))
+    completed = lambda df: df if "filled" in df.columns else residual.fill(df, rule)
     out = None
     for name in models:
-        filled = residual.fill(imputers.MODELS[name](blind, by=("seed",)), rule)
+        if own and name in own:
+            parts = [completed(own[name](blind.where(F.col("seed") == s).drop("seed"))).withColumn("seed", F.lit(s).cast("long")) for s in seeds]
+        else:
+            parts = [completed(imputers.MODELS[name](blind, by=("seed",)))]
         forced = F.transform("c", lambda v: v.isNull() & ((F.col("n") - co.total(F.col("c"))) == 0))
-        rows = filled.select("row_id", "seed", "e", "grp", "days", "n", "filled", forced.alias("z")).withColumn("model", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
+        for filled in parts:
+            rows = filled.select("row_id", "seed", "e", "grp", "days", "n", "filled", forced.alias("z")).withColumn("model", F.lit(name))
+            out = rows if out is None else out.unionByName(rows)
     both = out.join(answer, ["row_id", "seed"])
     cell = F.posexplode(F.arrays_zip("h", "truth", "filled", "z")).alias("t", "x")
     return both.select("model", "row_id", "seed", "e", "grp", "days", "n", cell).where("x.h").select(
         "row_id", "e", "grp", "days", "n", "t", F.col("x.truth").alias("truth_count"), F.col("x.filled").alias("pred_count"), (F.col("x.truth") / F.col("n")).alias("truth_prop"), (F.col("x.filled") / F.col("n")).alias("pred_prop"),
-        "model", F.lit("random_cell").alias("mask"), "seed", F.col("x.z").alias("forced_zero"), (~F.col("x.z")).alias("model_cell"), (F.col("x.truth") == 0).alias("truth_zero"),
+        "model", F.lit(mask).alias("mask"), "seed", F.col("x.z").alias("forced_zero"), (~F.col("x.z")).alias("model_cell"), (F.col("x.truth") == 0).alias("truth_zero"),
     )
 
 
@@ -69,9 +91,12 @@ def series_macro(rows: DataFrame, by: list[str]) -> DataFrame:
     return per.groupBy(*by).agg(F.avg("mae").alias("series_macro_mae_prop"), F.count(F.lit(1)).alias("series"))
 
 
-def implied_other(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Error of Other that a row's hidden cells imply: (sum of truths - sum of predictions) / n."""
-    per = rows.groupBy(*by, "row_id", "e").agg(((F.sum("truth_count") - F.sum("pred_count")) / F.max("n")).alias("d"))
+def implied_other(rows: DataFrame, by: list[str], whole: DataFrame) -> DataFrame:
+    """Error of Other that a row's hidden cells imply: (sum of truths - sum of predictions) / n.
+
+    whole: row_id of the rows that were complete before masking; only there the true Other is known.
+    """
+    per = rows.join(whole.select("row_id"), "row_id", "left_semi").groupBy(*by, "row_id", "e").agg(((F.sum("truth_count") - F.sum("pred_count")) / F.max("n")).alias("d"))
     return per.groupBy(*by).agg(F.avg(F.abs("d")).alias("other_mae"), F.avg("d").alias("other_bias"), F.count(F.lit(1)).alias("rows"), F.countDistinct("e").alias("entities"))
 
 
@@ -143,8 +168,13 @@ def reliability(scheduled: DataFrame, outcomes: DataFrame) -> DataFrame:
     return status.groupBy("model").agg(F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "missing").alias("missing"), F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.when(F.col("status") != "completed", F.col("seed")))), lambda x: x.cast("string"))).alias("not_completed"))
 
 
-def stratum_errors(rows: DataFrame, least: int = 30) -> DataFrame:
-    """mae of shares by model, seed and stratum, for groups and for n classes; null below `least` cells."""
-    labelled = rows.withColumn("kind", F.explode(F.array(F.struct(F.lit("group").alias("kind"), F.col("grp").alias("stratum")), F.struct(F.lit("size").alias("kind"), F.when(F.col("n") <= 6, "N1").when(F.col("n") <= 9, "N2").otherwise("N3").alias("stratum")))))
+def stratum_errors(rows: DataFrame, cut: DataFrame, least: int = 30) -> DataFrame:
+    """mae of shares of model-decided cells by model, seed and stratum, for groups and for classes of n; null below `least` cells.
+
+    cut: one row q1, q2, the panel's tertiles (masking.cuts).
+    """
+    size = F.when(F.col("n") <= F.col("q1"), "N1").when(F.col("n") <= F.col("q2"), "N2").otherwise("N3")
+    kinds = F.explode(F.array(F.struct(F.lit("group").alias("kind"), F.col("grp").alias("stratum")), F.struct(F.lit("size").alias("kind"), size.alias("stratum"))))
+    labelled = rows.where("model_cell").join(F.broadcast(cut)).withColumn("kind", kinds)
     out = labelled.groupBy("model", "seed", "kind.kind", "kind.stratum").agg(F.count(F.lit(1)).alias("cells"), F.avg(F.abs(F.col("pred_prop") - F.col("truth_prop"))).alias("mae"))
     return out.withColumn("mae", F.when(F.col("cells") >= least, F.col("mae")))

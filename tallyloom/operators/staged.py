@@ -43,7 +43,7 @@ def training_view(panel: DataFrame, rate: float, seed: int) -> DataFrame:
 
 def initial(panel: DataFrame, k: int = 3) -> DataFrame:
     """The panel with filled: Jensen-Shannon neighbours, split over missing targets and Other by budget."""
-    shares = neighbours.tsagris(panel, k).select("row_id", F.slice("x", 1, 4).alias("p"), F.get("x", F.lit(4)).alias("p_other"))
+    shares = neighbours.tsagris(panel, k).select("row_id", F.slice("x", F.lit(1), F.size("x") - 1).alias("p"), F.get("x", F.size("x") - 1).alias("p_other"))
     joined = panel.join(shares, "row_id", "left").withColumn("p", F.coalesce("p", F.transform("c", lambda v: F.lit(0.0))))
     return residual.fill(joined, "prop_other", other="p_other").drop("p", "p_other")
 

@@ -69,6 +69,12 @@ def cells(panel: DataFrame, *more: str, by: tuple[str, ...] = ()) -> DataFrame:
     return panel.select(*own, F.posexplode(parts).alias("t", "cell")).select(*own, "t", "cell.c", *(f"cell.{m}" for m in more))
 
 
+def targets(panel: DataFrame) -> int:
+    """The number of targets, from the first row; 0 for an empty panel."""
+    first = panel.select(F.size("c").alias("d")).first()
+    return first["d"] if first else 0
+
+
 def known_sum() -> Column:
     return co.total(F.col("c"))
 

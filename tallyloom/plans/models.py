@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom import panel as pn
+from tallyloom.functions import compositions as co
 from tallyloom.functions.hashing import HIDE, TRAIN, uniform
 from tallyloom.operators import cases, imputers, logratio, masking, neighbours, residual, scoring, sequences, support
 from tallyloom.plans import panels
@@ -20,7 +21,7 @@ reg = Registry()
 
 
 def orders_months(s, d):
-    """The last two years of the orders panel: what the pairwise queries run on."""
+    """The orders panel, all its months: what the pairwise queries run on."""
     return pn.orders_panel(s, d)
 
 
@@ -140,9 +141,17 @@ reg.add("error_groups", lambda s, d: scoring.masked_errors(predicted(s, d), KEY)
     for g, w in {"all": "true", "truth_zero": "truth_zero", "truth_positive": "NOT truth_zero", "forced_zero": "forced_zero", "model": "model_cell", "model_truth_zero": "model_cell AND truth_zero"}.items()), "model seed cell_group cells", "mae_count mse_count mae_prop mse_prop", PRED)
 reg.add("masked_errors", lambda s, d: scoring.masked_errors(predicted(s, d), ["model"]).where("cell_group = 'all'").select("model", "cells", "mae_count", "mse_prop"), "SELECT model, count(*) AS cells, avg(abs(pred_count - truth_count)) AS mae_count, avg((pred_prop - truth_prop) ** 2) AS mse_prop FROM pred GROUP BY model", "model cells", "mae_count mse_prop", PRED)
 reg.add("series_macro_mae", lambda s, d: scoring.series_macro(predicted(s, d), KEY), "SELECT * FROM ser", "model seed series", "series_macro_mae_prop", SCORES)
-reg.add("implied_other", lambda s, d: scoring.implied_other(predicted(s, d), KEY), "SELECT model, seed, avg(abs(x)) AS other_mae, avg(x) AS other_bias, count(*) AS rows, count(DISTINCT e) AS entities FROM (SELECT model, seed, row_id, e, (sum(truth_count) - sum(pred_count)) / max(n) AS x FROM pred GROUP BY ALL) GROUP BY model, seed", "model seed rows entities", "other_mae other_bias", PRED)
-reg.add("stratum_mae", lambda s, d: scoring.stratum_errors(predicted(s, d)),
-        "SELECT model, seed, kind, stratum, cells, CASE WHEN cells >= 30 THEN mae END AS mae FROM (SELECT model, seed, 'group' AS kind, grp AS stratum, count(*) AS cells, avg(abs(pred_prop - truth_prop)) AS mae FROM pred GROUP BY ALL UNION ALL SELECT model, seed, 'size', CASE WHEN n <= 6 THEN 'N1' WHEN n <= 9 THEN 'N2' ELSE 'N3' END, count(*), avg(abs(pred_prop - truth_prop)) FROM pred GROUP BY ALL)", "model seed kind stratum cells", "mae", PRED)
+
+
+def whole_rows(s, d):
+    """Rows of the orders panel that lack nothing before any mask."""
+    return pn.orders_panel(s, d).where(co.complete(F.col("c"))).select("row_id")
+
+
+reg.add("implied_other", lambda s, d: scoring.implied_other(predicted(s, d), KEY, whole_rows(s, d)), "SELECT model, seed, avg(abs(x)) AS other_mae, avg(x) AS other_bias, count(*) AS rows, count(DISTINCT e) AS entities FROM (SELECT model, seed, row_id, e, (sum(truth_count) - sum(pred_count)) / max(n) AS x FROM pred WHERE row_id IN (SELECT row_id FROM rows_ WHERE seen = 4) GROUP BY ALL) GROUP BY model, seed", "model seed rows entities", "other_mae other_bias", PRED)
+reg.add("stratum_mae", lambda s, d: scoring.stratum_errors(predicted(s, d), masking.cuts(pn.orders_panel(s, d))),
+        "SELECT model, seed, kind, stratum, cells, CASE WHEN cells >= 30 THEN mae END AS mae FROM (SELECT model, seed, 'group' AS kind, grp AS stratum, count(*) AS cells, avg(abs(pred_prop - truth_prop)) AS mae FROM pred WHERE model_cell GROUP BY ALL UNION ALL SELECT model, seed, 'size', CASE WHEN n <= q1 THEN 'N1' WHEN n <= q2 THEN 'N2' ELSE 'N3' END, count(*), avg(abs(pred_prop - truth_prop)) FROM pred, cut WHERE model_cell GROUP BY ALL)", "model seed kind stratum cells", "mae",
+        PRED + ", cut AS (SELECT quantile_cont(n, 1/3.0::DOUBLE) AS q1, quantile_cont(n, 2/3.0::DOUBLE) AS q2 FROM rows_ WHERE seen < 4 AND resid <> 0)")
 reg.add("seed_summary", lambda s, d: scoring.seed_summary(runs(s, d), "mae_prop", ["model"]), "SELECT model, avg(mae_prop) AS mean, stddev_samp(mae_prop) AS sd, count(mae_prop) AS runs_ok, count(*) - count(mae_prop) AS runs_failed FROM runs GROUP BY model", "model runs_ok runs_failed", "mean sd", SCORES)
 
 
@@ -228,22 +237,36 @@ def local_sides(s, d):
 
 reg.add("d2_local", lambda s, d: scoring.wasserstein(local_sides(s, d), ["t"]), W1_OUT, "t", "distance",
         SUP + ", wv AS (SELECT t, value, sum(wa) AS wa, sum(wb) AS wb FROM (SELECT t, count / n AS value, 1.0::DOUBLE AS wa, 0.0::DOUBLE AS wb FROM ev JOIN ok USING (row_id, t) WHERE supported UNION ALL SELECT rf.t, rf.c / ob.n, 0, 1.0 / refs FROM rf JOIN ok USING (row_id, t) JOIN ob ON ob.row_id = rf.ref AND ob.t = rf.t WHERE supported) GROUP BY t, value), cu AS (SELECT t, value, sum(wa) OVER o / sum(wa) OVER p - sum(wb) OVER o / sum(wb) OVER p AS f, lead(value) OVER o - value AS step FROM wv WINDOW o AS (PARTITION BY t ORDER BY value), p AS (PARTITION BY t))")
-reg.add("d3_flags", lambda s, d: support.outside_support((x := support_sides(s, d))[0], x[1].where("days between 400 and 1500")), "SELECT t, count(*) FILTER (flag) AS flagged, count(*) AS cells, coalesce(sum(count / n) FILTER (flag), 0) AS mass FROM (SELECT ev.*, count >= 0.5 AND (days < lo OR days > hi) AS flag FROM ev JOIN (SELECT t, min(days) FILTER (c > 0) AS lo, max(days) FILTER (c > 0) AS hi FROM ob WHERE days BETWEEN 400 AND 1500 GROUP BY t) USING (t)) GROUP BY t", "t flagged cells", "mass", SUP)
+reg.add("d3_flags", lambda s, d: support.outside_support(*support_sides(s, d)), "SELECT t, count(*) FILTER (flag) AS flagged, count(*) AS cells, coalesce(sum(count / n) FILTER (flag), 0) AS mass FROM (SELECT ev.*, count >= 0.5 AND (days < lo OR days > hi) AS flag FROM ev JOIN (SELECT t, min(days) FILTER (c > 0) AS lo, max(days) FILTER (c > 0) AS hi FROM ob GROUP BY t) USING (t)) GROUP BY t", "t flagged cells", "mass", SUP)
+
+
+def visible_cells(s, d):
+    """Cells that the masks of the prediction table leave visible, by seed."""
+    return pn.cells(scoring.hidden_cells(pn.orders_panel(s, d), "random_cell", 0.1, SEEDS), by=("seed",)).where("c is not null")
 
 
 def case_rows(s, d):
-    """Per seed and model its error, and as the diagnostic the error of its implied Other."""
-    other = scoring.implied_other(predicted(s, d), KEY).select("model", "seed", F.col("other_mae").alias("diagnostic"))
+    """Per seed and model its error, and as the diagnostic D1, which needs no truth."""
+    rates = visible_cells(s, d).groupBy("seed", "t").agg(F.avg((F.col("c") < 0.5).cast("double")).alias("zero"))
     order = F.array_position(F.array(*(F.lit(m) for m in MODELS)), F.col("model"))
-    return runs(s, d).withColumnRenamed("mae_prop", "error").join(other, KEY).withColumn("ord", order)
+    return runs(s, d).withColumnRenamed("mae_prop", "error").join(cases.zero_gap(predicted(s, d), rates), KEY).withColumn("ord", order)
+
+
+def flagged(s, d):
+    """Prediction rows with the flag of the days of positive visible counts."""
+    positive = F.when(F.col("c") > 0, F.col("days"))
+    spans = visible_cells(s, d).groupBy("seed", "t").agg(F.min(positive).alias("first_day"), F.max(positive).alias("last_day"))
+    return cases.outside_span(predicted(s, d), spans)
 
 
-CASE = SCORES + ", io AS (SELECT model, seed, avg(abs(x)) AS diagnostic FROM (SELECT model, seed, row_id, (sum(truth_count) - sum(pred_count)) / max(n) AS x FROM pred GROUP BY ALL) GROUP BY ALL), cs AS (SELECT model, seed, mae_prop AS error, diagnostic, list_position(['zero_fill', 'mean_fill', 'same_day_mean'], model) AS ord FROM runs JOIN io USING (model, seed)), pw AS (SELECT x.seed, x.model AS a, y.model AS b, CASE WHEN abs(x.error - y.error) < 1e-3 THEN 'tie' WHEN x.diagnostic <> y.diagnostic AND sign(x.diagnostic - y.diagnostic) = sign(x.error - y.error) THEN 'match' ELSE 'mismatch' END AS verdict FROM cs x JOIN cs y ON x.seed = y.seed AND x.ord < y.ord), ag AS (SELECT seed, avg((verdict = 'match')::INTEGER) FILTER (verdict <> 'tie') AS rate, count(*) FILTER (verdict <> 'tie') AS decided FROM pw GROUP BY seed), rg AS (SELECT seed, arg_min(model, [diagnostic, ord]) AS chosen, arg_min(error, [diagnostic, ord]) - min(error) AS regret FROM cs GROUP BY seed)"
+CASE = SCORES + ", zr AS (SELECT seed, t, avg((v < 0.5)::INTEGER) AS zero FROM vs WHERE v IS NOT NULL GROUP BY seed, t), dg AS (SELECT model, seed, sum(k * abs(x - zero)) / sum(k) AS diagnostic FROM (SELECT model, seed, t, count(*) AS k, avg((pred_count < 0.5)::INTEGER) AS x FROM pred WHERE model_cell GROUP BY ALL) JOIN zr USING (seed, t) GROUP BY ALL), cs AS (SELECT model, seed, mae_prop AS error, diagnostic, list_position(['zero_fill', 'mean_fill', 'same_day_mean'], model) AS ord FROM runs JOIN dg USING (model, seed)), pw AS (SELECT x.seed, x.model AS a, y.model AS b, CASE WHEN abs(x.error - y.error) < 1e-3 THEN 'tie' WHEN x.diagnostic <> y.diagnostic AND sign(x.diagnostic - y.diagnostic) = sign(x.error - y.error) THEN 'match' ELSE 'mismatch' END AS verdict FROM cs x JOIN cs y ON x.seed = y.seed AND x.ord < y.ord), ag AS (SELECT seed, avg((verdict = 'match')::INTEGER) FILTER (verdict <> 'tie') AS rate, count(*) FILTER (verdict <> 'tie') AS decided FROM pw GROUP BY seed), rg AS (SELECT seed, arg_min(model, [diagnostic, ord]) AS chosen, arg_min(error, [diagnostic, ord]) - min(error) AS regret FROM cs GROUP BY seed)"
 reg.add("tier3_pairwise", lambda s, d: cases.pairwise(case_rows(s, d)), "SELECT * FROM pw", "seed a b verdict", "", CASE)
 reg.add("tier3_agreement", lambda s, d: cases.agreement(cases.pairwise(case_rows(s, d))), "SELECT * FROM ag", "seed decided", "rate", CASE)
 reg.add("tier3_regret", lambda s, d: cases.regret(case_rows(s, d)), "SELECT * FROM rg", "seed chosen", "regret", CASE)
-reg.add("tier3_verdict", lambda s, d: cases.verdict(cases.agreement(cases.pairwise(r := case_rows(s, d))), cases.regret(r)), "SELECT *, coalesce(cases >= 4 AND mean_rate >= 0.8 AND least_rate >= 0.5, false) AS passed FROM (SELECT count(rate) AS cases, avg(rate) AS mean_rate, min(rate) AS least_rate FROM ag), (SELECT count(*) FILTER (regret <= 0.005) AS small_regret, count(*) AS regrets FROM rg)", "cases small_regret regrets passed", "mean_rate least_rate", CASE)
-reg.add("tier3_flag_precision", lambda s, d: cases.flag_precision(predicted(s, d).withColumn("flag", (F.col("pred_count") < 0.5))), "SELECT model, seed, count(*) FILTER (pred_count < 0.5) AS flagged, avg(abs(pred_prop - truth_prop)) FILTER (pred_count < 0.5) AS flagged_mae, avg(abs(pred_prop - truth_prop)) FILTER (pred_count >= 0.5) AS other_mae, avg(truth_zero::INTEGER) FILTER (pred_count < 0.5) AS precision FROM pred GROUP BY model, seed", "model seed flagged", "flagged_mae other_mae precision", PRED)
+reg.add("tier3_verdict", lambda s, d: cases.verdict(cases.agreement(cases.pairwise(r := case_rows(s, d))), cases.regret(r)), "SELECT *, CASE WHEN cases < 4 THEN 'insufficient' WHEN mean_rate >= 0.8 AND least_rate >= 0.5 THEN 'pass' ELSE 'fail' END AS verdict, small_regret >= 9 AS regret_ok FROM (SELECT count(rate) AS cases, avg(rate) AS mean_rate, min(rate) AS least_rate FROM ag), (SELECT count(*) FILTER (regret <= 0.005) AS small_regret, count(*) AS regrets FROM rg)", "cases small_regret regrets verdict regret_ok", "mean_rate least_rate", CASE)
+FLAGGED = PRED + ", sn AS (SELECT seed, t, min(days) FILTER (v > 0) AS lo, max(days) FILTER (v > 0) AS hi FROM vs GROUP BY seed, t), fg AS (SELECT pred.*, lo IS NULL OR row_id % 100000 < lo OR row_id % 100000 > hi AS flag FROM pred JOIN sn USING (seed, t) WHERE pred_count >= 0.5), gp AS (SELECT model, seed, count(*) FILTER (flag) AS flagged, count(*) FILTER (NOT flag) AS unflagged, avg(truth_zero::INTEGER) FILTER (flag) AS p_flagged, avg(truth_zero::INTEGER) FILTER (NOT flag) AS p_unflagged, avg(truth_zero::INTEGER) FILTER (flag) - avg(truth_zero::INTEGER) FILTER (NOT flag) AS gap FROM fg GROUP BY model, seed)"
+reg.add("tier3_flag_precision", lambda s, d: cases.flag_precision(flagged(s, d)), "SELECT * FROM gp", "model seed flagged unflagged", "p_flagged p_unflagged gap", FLAGGED)
+reg.add("tier3_flag_verdict", lambda s, d: cases.flag_verdict(cases.flag_precision(flagged(s, d))), "SELECT count(gap) AS cases, count(*) FILTER (gap >= 0.2) AS good, CASE WHEN count(gap) < 9 THEN 'insufficient' WHEN count(*) FILTER (gap >= 0.2) >= 9 THEN 'pass' ELSE 'fail' END AS verdict FROM gp", "cases good verdict", "", FLAGGED)
 reg.add("hypothesis_better", lambda s, d: cases.hypothesis(scoring.pairs(runs(s, d)), "same_day_mean", "mean_fill"), f"SELECT 'same_day_mean' AS model, 'mean_fill' AS against, -mean_diff AS mean_diff, p, -mean_diff < 0 AND p <= 0.05 AS better, NOT (-mean_diff > 0 AND p <= 0.05) AS not_worse FROM (SELECT *, {SIGN} FROM ({PAIR})) WHERE a = 'mean_fill' AND b = 'same_day_mean'", "model against better not_worse", "mean_diff p", SCORES + ", fr AS (SELECT * FROM runs)")
 
 # --- sequences and older measures -----------------------------------------------------
