@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -104,3 +104,11 @@ def power_mean(values: list[Column] | Column, alpha: float) -> Column:
         logs = plus(lambda v: F.when(v > 0, F.log(v)).otherwise(0.0))
         return closure(F.zip_with(logs, least, lambda s, low: F.when(low > 0, F.exp(s / n)).otherwise(0.0)))
     return closure(F.transform(plus(lambda v: F.pow(v, F.lit(alpha))), lambda s: F.pow(s / n, F.lit(1 / alpha))))
+
+
+def group_mean(rows: DataFrame, by: str, parts: str, alpha: float) -> DataFrame:
+    """by, part, value: the Fréchet mean of each group's compositions, as plain aggregates of its parts."""
+    v = F.col("v")
+    raised = {1: F.avg(v), 0: F.when(F.min(v) > 0, F.exp(F.avg(F.log(F.when(v > 0, v))))).otherwise(0.0)}.get(alpha, F.pow(F.avg(F.pow(v, F.lit(alpha))), F.lit(1 / alpha if alpha else 1.0)))
+    means = rows.select(by, F.posexplode(parts).alias("part", "v")).groupBy(by, "part").agg(raised.alias("m"))
+    return means.select(by, "part", (F.col("m") / F.sum("m").over(Window.partitionBy(by))).alias("value"))  # a group has its parts only

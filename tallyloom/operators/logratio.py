@@ -166,7 +166,7 @@ def trimmed(rows: DataFrame, xs: list[Column], y: Column, keep: float = 0.75, st
     for _ in range(steps):
         error = sum((F.lit(b) * x for b, x in zip(beta, xs, strict=True)), F.lit(0.0)) - y
         sized = rows.withColumn("_r", error * error)
-        limit = sized.agg(F.percentile("_r", keep)).first()[0]
+        limit = sized.agg(F.percentile_approx("_r", keep, 100_000)).first()[0]
         new = ols(sized.where(F.col("_r") <= limit), xs, y)
         if max(abs(a - b) for a, b in zip(new, beta, strict=True)) < 1e-10:
             return new

@@ -76,7 +76,7 @@ reg.add("aitchison_to_first", lambda s, d: neighbours(s, d).select("row_id", co.
         "SELECT row_id, sqrt(list_sum(list_transform([1, 2, 3, 4, 5], lambda i: (z[i] - y[i]) ** 2))) AS distance FROM both_", "row_id", "distance", NEXT)
 for _alpha, _name in ((1.0, "arithmetic"), (0.0, "geometric"), (0.5, "half_power")):
     _inner = {1.0: "avg(v)", 0.0: "exp(avg(ln(v)))", 0.5: "pow(avg(sqrt(v)), 2)"}[_alpha]
-    reg.add(f"frechet_mean_{_name}", lambda s, d, a=_alpha: shares(s, d).groupBy("e").agg(F.collect_list("p").alias("all")).select("e", F.posexplode(co.power_mean(F.col("all"), a)).alias("part", "value")),
+    reg.add(f"frechet_mean_{_name}", lambda s, d, a=_alpha: co.group_mean(shares(s, d), "e", "p", a),
             f"SELECT e, part, m / sum(m) OVER (PARTITION BY e) AS value FROM (SELECT e, part, {_inner} AS m FROM (SELECT e, i AS part, p[i + 1] AS v FROM k JOIN q USING (row_id), (SELECT unnest([0, 1, 2, 3, 4]) AS i)) GROUP BY e, part)", "e part", "value", NEXT)
 reg.add("median_part", lambda s, d: shares(s, d).select("row_id", co.median_of(F.col("p")).alias("median"), co.median_of(F.slice("p", 1, 4)).alias("median_targets")),
         "SELECT row_id, list_median(p) AS median, list_median(p[1:4]) AS median_targets FROM q".replace("list_median", "list_aggregate").replace("list_aggregate(p)", "list_aggregate(p, 'median')").replace("list_aggregate(p[1:4])", "list_aggregate(p[1:4], 'median')"), "row_id", "median median_targets", FULL)
