@@ -59,8 +59,24 @@ def test_exact_groups(spark):
 
 def test_exact_index_follows_the_corpus(spark):
     index = exact_dedup.build_index(docs(spark, [(1, "a"), (2, "b"), (3, "b")]))
-    later = exact_dedup.update_index(index, inserted=docs(spark, [(7, "a"), (8, "c")]), deleted=docs(spark, [(0, "b")]))
-    assert sorted((r["keep_id"], r["group_size"]) for r in later.collect()) == [(7, 2), (8, 1)]
+    later = exact_dedup.update_index(index, inserted=docs(spark, [(7, "a"), (8, "c")]), deleted=docs(spark, [(0, "b"), (3, "b")]))
+    assert sorted((r["keep_id"], r["group_size"]) for r in later.collect()) == [(2, 1), (7, 2), (8, 1)]
+    last = exact_dedup.update_index(later, deleted=docs(spark, [(2, "b"), (7, "a"), (9, "never seen")]))
+    assert sorted((r["keep_id"], r["group_size"]) for r in last.collect()) == [(1, 1), (8, 1)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_index_updates_against_rebuilding(spark, seed, monkeypatch):
+    """Any order of losses and gains gives what an index of the remaining rows has."""
+    monkeypatch.setattr(exact_dedup, "LIVE_ENTRIES", 5)
+    rnd = random.Random(seed)
+    rows = [(i if rnd.random() < 0.95 else None, rnd.choice("abcdefgh") * rnd.randint(0, 2)) for i in range(120)] + [(7, "zz")] * 3
+    gone = rnd.sample(rows, 70)
+    new = [(200 + i, rnd.choice("abcz") * 2) for i in range(20)]
+    left = list((collections.Counter(rows) - collections.Counter(gone)).elements()) + new
+    index = exact_dedup.update_index(exact_dedup.build_index(docs(spark, rows)), inserted=docs(spark, new), deleted=docs(spark, gone))
+    found = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.renamed(index, docs(spark, left)).collect()}
+    assert found == {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.build_index(docs(spark, left)).collect()}
 
 
 # --- lines --------------------------------------------------------------------
@@ -92,6 +108,43 @@ def test_lines_against_brute_force(spark, seed):
     assert got == brute_lines(rows, line_dedup.MIN_WORDS)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_maximal_runs_against_brute_force(spark, seed):
+    """Each run equals its source, which is earlier, and ends where they differ; together they are what is deleted."""
+    rnd = random.Random(seed)
+    pool = ["a", "b c", "d e f", "one two three four", "", "x y z w v", "q"]
+    long = [rnd.choice(pool) for _ in range(40)]
+    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 9)))) for i in range(8)]
+    rows += [(20 + i, "\n".join(long[rnd.randint(0, 9) : rnd.randint(20, 40)] + [f"own{i}"])) for i in range(4)]
+    spoken = {d: [(p, x) for p, x in enumerate(t.split("\n")) if WORD.search(x)] for d, t in rows}
+    covered = collections.defaultdict(set)
+    for r in line_dedup.runs(docs(spark, rows)).collect():
+        own, other = spoken[r["doc_id"]], spoken[r["source_doc_id"]]
+        s, e = (next(k for k, (p, _) in enumerate(own) if p == x) for x in (r["first"], r["last"]))
+        t = next(k for k, (p, _) in enumerate(other) if p == r["source_first"])
+        size = e - s + 1
+        assert (r["source_doc_id"], t) < (r["doc_id"], s)
+        assert [x for _, x in own[s : e + 1]] == [x for _, x in other[t : t + size]]
+        assert s == 0 or t == 0 or own[s - 1][1] != other[t - 1][1]
+        assert e + 1 == len(own) or t + size == len(other) or own[e + 1][1] != other[t + size][1]
+        covered[r["doc_id"]].update(p for p, _ in own[s : e + 1])
+    want = brute_lines(rows, line_dedup.MIN_WORDS)
+    for d, t in rows:
+        assert "\n".join(x for p, x in enumerate(t.split("\n")) if p not in covered[d]) == want[d]
+
+
+def test_runs_of_different_sources_stay_apart(spark):
+    rows = [(1, "one two three four\nz"), (2, "five six seven eight\ny"), (3, "one two three four\nfive six seven eight")]
+    got = sorted(tuple(r) for r in line_dedup.runs(docs(spark, rows)).collect())
+    assert got == [(3, 0, 0, 1, 0), (3, 1, 1, 2, 0)]
+
+
+def test_prefix_doubling_goes_to_the_end(spark):
+    text = "\n".join(f"line {k}" for k in range(40))
+    lines = line_dedup._lines(line_dedup._keyed(docs(spark, [(1, text), (2, text + "\nmore")])))
+    assert len(line_dedup.suffix_ranks(lines)) == 6  # 32 of 40 lines repeat
+
+
 def test_lines_edges(spark):
     rows = [(1, None), (2, ""), (3, "same words in here\nx"), (4, "same words in here\nx"), (None, "same words in here"), (6, "tiny"), (7, "tiny"), (8, "same words in here\n\nnew")]
     out = line_dedup.line_dedup(docs(spark, rows).withColumn("n_lines", F.lit(7)).withColumn("seq", F.lit(1)))
@@ -166,7 +219,8 @@ def test_near_blocks_find_the_same(spark, monkeypatch):
         for _ in range(rnd.randint(0, 12)):
             text[rnd.randrange(300)] = f"w{rnd.randrange(4000)}"
         rows.append((i, " ".join(text)))
-    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "LATE_BLOCK", 5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_dedup(docs(spark, rows)).collect()}
     assert got == brute_components(rows, 3, 85)
 
