@@ -73,6 +73,10 @@ class Bits:
         return value
 
 
+    def slice(self, at: int, n: int) -> int:
+        """n bits from a place on as a number."""
+        return int.from_bytes(self.data[at >> 3 : (at + n + 7 >> 3)], "little") >> (at & 7) & (1 << n) - 1
+
     def read_array(self, n: int) -> np.ndarray:
         """The next n bits one by one."""
         first = self.at >> 3
@@ -202,7 +206,20 @@ def _read_image(bits: Bits, width: int, height: int, meta: bool) -> np.ndarray:
         image = _read_image(bits, across, -(-height >> shift), False).astype(np.int64)
         group_of = (image[:, 1] << 8 | image[:, 0]).tolist()
         groups = max(group_of) + 1
-    codes = [[_read_code(bits, n) for n in (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)] for _ in range(groups)]
+    codes = []
+    for _ in range(groups):
+        green, start = _read_code(bits, 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0)), bits.at
+        red = _read_code(bits, 256)
+        size = bits.at - start
+        written = bits.slice(start, size)
+        group = [green, red]
+        for _ in range(2):
+            if bits.slice(bits.at, size) == written and bits.at + size <= bits.end:  # the same code again
+                group.append(red)
+                bits.at += size
+            else:
+                group.append(_read_code(bits, 256))
+        codes.append([*group, _read_code(bits, DISTANCE_CODES)])
     if groups == 1 and meta and (samples := _read_at_once(bits, codes[0], cache_bits, width, width * height)) is not None:
         return samples
     return _read_symbols(bits, codes, group_of, shift, across, cache_bits, width, height)
@@ -226,15 +243,17 @@ def _read_at_once(bits: Bits, codes: list[PrefixCode], cache_bits: int, width: i
 
     def look(code: PrefixCode, where) -> tuple[np.ndarray, np.ndarray]:
         symbols, sizes = code.arrays()
-        window = ahead[where] & np.uint32((1 << code.depth) - 1)
+        window = (ahead[where] & np.uint32((1 << code.depth) - 1)).astype(np.intp)
         return symbols[window], sizes[window]
 
     green, size = look(codes[0], slice(0, n + 1))
     after = at + size  # where what follows green begins
-    jump = after
+    jump, sizes_of = after, {}
     for code in codes[1:4]:
         if code.only is None:
-            jump = jump + look(code, slice(0, n + 64))[1][jump]
+            if id(code) not in sizes_of:
+                sizes_of[id(code)] = code.arrays()[1][(ahead[: n + 64] & np.uint32((1 << code.depth) - 1)).astype(np.intp)]
+            jump = jump + sizes_of[id(code)][jump]
     if codes[0].symbols.max() > 255:
         jump = jump.copy() if jump is after else jump
         special = np.flatnonzero(green > 255)
@@ -502,6 +521,10 @@ class BitWriter:
         self.parts[-1][0].append(value)
         self.parts[-1][1].append(n)
 
+    def repeat(self, first: int, times: int) -> None:
+        """What was put from part `first` on, again."""
+        self.parts += self.parts[first:] * times + [([], [])]
+
     def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
         self.parts += [(values, sizes), ([], [])]
 
@@ -659,8 +682,8 @@ def _prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @functools.cache
 def _log_table() -> np.ndarray:
-    """n * log2(n) of counts up to the pixels of a file."""
-    n = np.arange(MAX_ROWS * ROW_PIXELS + 1, dtype=float)
+    """n * log2(n) of counts up to three samples of each pixel of a file."""
+    n = np.arange(3 * MAX_ROWS * ROW_PIXELS + 1, dtype=float)
     return n * np.log2(np.maximum(n, 1))
 
 
@@ -683,55 +706,66 @@ class Tokens:
 
     def __init__(self, samples: np.ndarray, copies: list[tuple[int, int, int]] = (), cache_bits: int = 0):
         n = len(samples)
-        keep, self.cache_bits = np.ones(n, bool), cache_bits
-        start, length, far = np.array(copies, np.int64).reshape(-1, 3).T
-        for s, k, _ in copies:
-            keep[s + 1 : s + k] = False
-        at = np.flatnonzero(keep)
-        kind = np.zeros(n, np.int8)
-        self.symbols = np.full((n, 4), -1, np.int64)
-        self.symbols[:] = samples
-        self.extra, self.bits = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
-        self.far = np.zeros(n, np.int64)
-        if len(start):
-            kind[start] = 1
-            code, self.extra[start, 0], self.bits[start, 0] = _prefix_of(length)
+        self.cache_bits, self.extra = cache_bits, None
+        # All codes but that of distances as one alphabet: green, red, blue, alpha, and a symbol of no bits.
+        self.greens = 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0)
+        self.symbols = samples + np.array([0, self.greens, self.greens + 256, self.greens + 512])
+        far = np.empty(0, np.int64)
+        self.kind = np.zeros(n, np.int8)
+        if copies:
+            keep = np.ones(n, bool)
+            for s, k, _ in copies:
+                keep[s + 1 : s + k] = False
+            start, length, distance = np.array(copies, np.int64).T
+            code, extra, bits = _prefix_of(length)
+            far, more, many = _prefix_of(distance + 120)
+            self.extra = (extra, bits, far, more, many)
+            self.kind[start] = 1
             self.symbols[start, 0] = 256 + code
-            self.far[start], self.extra[start, 1], self.bits[start, 1] = _prefix_of(far + 120)
+            self.symbols[start, 1:] = self.greens + 768
+            self.symbols, self.kind = self.symbols[keep], self.kind[keep]
         if cache_bits:
             argb = _argb(samples)
             keys = _cache_keys(argb, cache_bits)
             order = np.argsort(keys, kind="stable")
-            same = (keys[order[1:]] == keys[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
-            hits = order[1:][same]
-            kind[hits] = 2
+            hits = order[1:][(keys[order[1:]] == keys[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])]
+            self.kind[hits] = 2
             self.symbols[hits, 0] = 256 + LENGTH_CODES + keys[hits]
-        self.symbols, self.kind, self.extra, self.bits, self.far = self.symbols[at], kind[at], self.extra[at], self.bits[at], self.far[at]
-        literal = self.symbols[self.kind == 0, 1:] if len(at) < n or cache_bits else self.symbols[:, 1:]
-        most = 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0)
-        green = np.bincount(self.symbols[:, 0], minlength=most)
-        rest = np.bincount((literal + OFFSETS[:3]).ravel(), minlength=768)
-        far = np.bincount(self.far[self.kind == 1], minlength=DISTANCE_CODES)
-        self.counts = [green, *rest.reshape(3, 256), far]
-        self.cost = _entropy(np.concatenate([green, rest, far]), [len(at), *[len(literal)] * 3, len(start)]) + int(self.bits.sum())
+            self.symbols[hits, 1:] = self.greens + 768
+        counts = np.bincount(self.symbols.ravel(), minlength=self.greens + 769)[:-1]
+        distances = np.bincount(far, minlength=DISTANCE_CODES)
+        self.counts = [counts[: self.greens], *counts[self.greens :].reshape(3, 256), distances]
+        tokens, literals = len(self.symbols), int(np.count_nonzero(self.kind == 0)) if len(copies) or cache_bits else len(self.symbols)
+        self.cost = _entropy(counts, [tokens, *[literals] * 3]) + _entropy(distances, [len(far)])
+        if self.extra:
+            self.cost += int(self.extra[1].sum() + self.extra[4].sum())
 
     def put(self, out: BitWriter, meta: bool) -> None:
-        out.put(1, 1) if self.cache_bits else out.put(0, 1)
+        out.put(1 if self.cache_bits else 0, 1)
         if self.cache_bits:
             out.put(self.cache_bits, 4)
         if meta:
             out.put(0, 1)  # one group of codes
-        codes = [_put_code(out, c) for c in self.counts]
-        n = len(self.symbols)
-        values, sizes = np.zeros((n, 4), np.int64), np.zeros((n, 4), np.int64)
-        values[:, 0], sizes[:, 0] = codes[0][0][self.symbols[:, 0]], codes[0][1][self.symbols[:, 0]]
-        literal, copy = self.kind == 0, self.kind == 1
-        for k in (1, 2, 3):
-            values[literal, k], sizes[literal, k] = codes[k][0][self.symbols[literal, k]], codes[k][1][self.symbols[literal, k]]
-        if copy.any():
-            values[copy, 1], sizes[copy, 1] = self.extra[copy, 0], self.bits[copy, 0]
-            values[copy, 2], sizes[copy, 2] = codes[4][0][self.far[copy]], codes[4][1][self.far[copy]]
-            values[copy, 3], sizes[copy, 3] = self.extra[copy, 1], self.bits[copy, 1]
+        green, *rest, far = self.counts
+        joint = sum(rest)
+        apart = _entropy(np.concatenate(rest), [int(c.sum()) for c in rest])
+        codes = [_put_code(out, green)]
+        if _entropy(joint, [int(joint.sum())]) <= apart * 1.02:  # as in text, where all channels are alike
+            out.parts.append(([], []))
+            at = len(out.parts) - 1
+            codes += [_put_code(out, joint)] * 3
+            out.repeat(at, 2)
+        else:
+            codes += [_put_code(out, c) for c in rest]
+        far_codes, far_bits = _put_code(out, far)
+        nothing = np.zeros(1, np.int64)
+        values = np.concatenate([*(c for c, _ in codes), nothing])[self.symbols]
+        sizes = np.concatenate([*(n for _, n in codes), nothing])[self.symbols]
+        if self.extra:
+            extra, bits, code, more, many = self.extra
+            at = np.flatnonzero(self.kind == 1)
+            values[at, 1:] = np.stack([extra, far_codes[code], more], axis=1)
+            sizes[at, 1:] = np.stack([bits, far_bits[code], many], axis=1)
         out.put_all(values.ravel(), sizes.ravel())
 
 
@@ -820,13 +854,14 @@ def encode(payload: bytes) -> bytes:
         height = len(part) // ROW_PIXELS
         plain = tokens_of(part)
         best = encode_plain(part, height, plain)
-        if height > 1:
+        # A quarter of the samples like those above: only then can the predictor pay.
+        if height > 1 and 4 * np.count_nonzero(part[ROW_PIXELS:] == part[:-ROW_PIXELS]) > part.size:
             left = residuals(part)
             if _literal_cost(left) < min(plain.cost, 0.9 * _literal_cost(part)):
                 best = min(best, encode_predicted(left, height), key=len)
         words = part.view(np.uint32).ravel()
         # More pixels than colours are needed for a palette to pay; few texts repeat so much.
-        if len(words) < 64 or len(np.unique(words[:: max(1, len(words) // 1024)])) <= 256:
+        if len(words) < 64 or 2 * len(set(words[:512].tolist())) <= min(len(words), 512):
             colours, index = np.unique(words, return_inverse=True)
             if len(colours) <= 256 and 4 * len(colours) < len(best):
                 best = min(best, encode_palette(height, colours, index), key=len)

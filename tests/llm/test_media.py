@@ -162,3 +162,37 @@ def test_table(spark):
     pixels = webp.read_pixels(stored).where("doc_id = 3").first()
     assert bytes(pixels["pixels"]) == payload and pixels["width"] == 16
     assert webp.digests(webp.store(rows.limit(0))).count() == 0
+
+
+def test_every_path_of_the_writer_is_read_back(sf, monkeypatch):
+    """Real texts and made ones go through uneven codes, back-references, the colour cache, the predictor and a palette."""
+    import pyarrow.parquet as pq
+
+    took = {"uneven": 0, "copies": 0, "cache": 0, "predictor": 0, "palette": 0, "loop": 0}
+    put, undo, loop, at_once = webp.Tokens.put, webp._undo_predictor, webp._read_symbols, webp._read_at_once
+
+    def counted(self, out, meta):
+        took["copies"] += bool((self.kind == 1).any())
+        took["cache"] += bool((self.kind == 2).any())
+        return put(self, out, meta)
+
+    def seen(bits, codes, *rest):
+        took["uneven"] += any(c.only is None and len(set(c._sizes.tolist())) > 1 for c in codes)
+        return at_once(bits, codes, *rest)
+
+    monkeypatch.setattr(webp.Tokens, "put", counted)
+    monkeypatch.setattr(webp, "_read_at_once", seen)
+    monkeypatch.setattr(webp, "_undo_predictor", lambda *a: (took.__setitem__("predictor", took["predictor"] + 1), undo(*a))[1])
+    monkeypatch.setattr(webp, "_read_symbols", lambda *a: (took.__setitem__("loop", took["loop"] + 1), loop(*a))[1])
+    monkeypatch.setattr(webp, "encode_palette", lambda *a, f=webp.encode_palette: (took.__setitem__("palette", took["palette"] + 1), f(*a))[1])
+    texts = [(t or "").encode() for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist()]
+    rnd = vw.rng(1)
+    letters = lambda n: bytes(rnd.randrange(97, 123) for _ in range(n))
+    row = bytearray(letters(64))
+    fading = b"".join(bytes(row) for _ in range(300) if [row.__setitem__(rnd.randrange(64), rnd.randrange(97, 123)) for _ in range(20)])
+    parts = [letters(4) for _ in range(700)]
+    texts += [fading, b"".join(rnd.choice(parts) for _ in range(6000)), b"abcd" * 3 + b"wxyz" * 900]
+    for raw in texts:
+        payload = webp.padded(raw)
+        assert webp.decode_all(webp.encode(payload))[1].tobytes() == payload
+    assert took["uneven"] > 0.9 * len(texts) and took["copies"] > 20 and all(took[k] > 0 for k in ("cache", "predictor", "palette", "loop")), took
