@@ -59,6 +59,44 @@ def test_passages_of_odd_rows(spark, odd):
     assert substring_dedup.passages(odd.limit(0)).count() == 0
 
 
+def test_other_entry_points_on_odd_rows(spark, odd):
+    """Updates, runs, sentences, redaction, tokens and pixels of odd and of empty tables."""
+    ids = lambda df: sorted(r.doc_id or 0 for r in df.select("doc_id").collect())
+    words, model = vocabulary(spark), toxicity.Model(-3.0, {"line": 9.0})
+    for docs, want in ((odd, [0, 1, 2, 3, 4, 5, 5]), (odd.limit(0), [])):
+        assert ids(pii.redacted(docs)) == want
+        assert ids(bpe.encode(docs, words)) == ids(bpe.encode_checked(docs, words)) == ids(bpe.decode(bpe.encode(docs, words), words)) == want
+        assert ids(webp.read_pixels(webp.store(docs))) == want
+        assert ids(toxicity.locate(docs, model)) == want[-2:]
+        assert ids(line_dedup.runs(docs)) == []
+        index = exact_dedup.build_index(docs)
+        assert exact_dedup.update_index(index, deleted=docs).count() == 0
+        assert sorted(map(str, exact_dedup.renamed(exact_dedup.update_index(index, inserted=docs, deleted=docs), docs).collect())) == sorted(map(str, index.collect()))
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_on_odd_rows(spark, odd, stage, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([(None, None, None), (3, 1, 0), (5, 0, 1), (77, 1, 1)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    run = cp.STAGES[stage][1]
+    got, none = run(spark, odd, str(tmp_path)), run(spark, odd.limit(0), str(tmp_path))
+    assert none.count() == 0
+    assert got.columns == odd.columns if stage < 4 else "doc_id" in got.columns
+    left = sorted(r.doc_id or 0 for r in got.select("doc_id").collect())
+    # Nulls and empty texts stay but in the mix; the copy of the long text goes as lines and as a near-duplicate.
+    assert left == {0: [0, 1, 2, 3, 4, 5, 5], 1: [0, 1, 2, 3, 5, 5], 2: [0, 1, 2, 3, 5, 5], 4: [0, 1, 2, 3, 4, 5, 5]}.get(stage, left)
+
+
+def test_near_stage_tells_texts_with_one_id_apart(spark):
+    import corpus_pipeline as cp
+
+    other = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, LONG[:900], "en", "s", 1), (2, LONG[:900], "en", "s", 1), (2, other, "en", "s", 1)]
+    got = cp.near_stage(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, LONG[:900]), (2, other)]
+
+
 def test_changing_stages_keep_clashing_columns(spark, odd):
     lines, mixed = line_dedup.line_dedup(odd), mixing.mixed(odd)
     assert mixed.columns == odd.columns

@@ -83,12 +83,19 @@ def test_knapsack_against_all_subsets(seed):
     counts = [rnd.randint(0, 3) for _ in lengths]
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     budget = rnd.randint(0, total + 3)
-    took = mixing.fit_counts(lengths, counts, budget)
-    assert all(0 <= t <= c for t, c in zip(took, counts, strict=True))
-    got = sum(n * t for n, t in zip(lengths, took, strict=True))
-    start = [c * min(budget, total) // total if total else 0 for c in counts]
-    reach = [sum(n * x for n, x in zip(lengths, xs, strict=True)) for xs in itertools.product(*(range(s, c + 1) for s, c in zip(start, counts, strict=True)))]
-    assert got == max(r for r in reach if r <= budget)
+    for window in (1, 20, mixing.DP_WORDS):
+        took = mixing.fit_counts(lengths, counts, budget, window)
+        assert all(0 <= t <= c for t, c in zip(took, counts, strict=True))
+        got = sum(n * t for n, t in zip(lengths, took, strict=True))
+        sums = {sum(n * x for n, x in zip(lengths, xs, strict=True)) for xs in itertools.product(*(range(c + 1) for c in counts))}
+        assert abs(got - budget) == min(abs(x - budget) for x in sums)
+
+
+def test_knapsack_undoes_shares_and_looks_above():
+    assert mixing.fit_counts([4, 6], [3, 1], 6) == [0, 1]
+    assert mixing.fit_counts([4, 6, 9], [5, 1, 1], 15) == [0, 1, 1]
+    assert mixing.fit_counts([10], [1], 9) == [1]
+    assert mixing.fit_counts([1000, 1001], [10**6, 1], 123456789) == [123457, 0]
 
 
 def test_knapsack_on_many_lengths():
@@ -171,10 +178,28 @@ def test_quality_edges(spark):
     out = quality.scored(rows, None)
     assert out.where("score = 1").count() == 3
     assert quality.keep(rows, labels).count() == 3
-    assert len(quality.text_view("")) == quality.TEXT_FEATURES and len(quality.meta_view(None, None, None, "")) == quality.META_FEATURES
+    assert len(quality.text_view("")) == quality.TEXT_FEATURES and len(quality.meta_view(None, None, None)) == quality.META_FEATURES
     assert np.isfinite(quality.text_view("A!!" * 1000)).all()
 
 
+def test_metadata_view_never_reads_the_text(spark):
+    """The view's score is the same whatever the text says."""
+    path = "/root/testdata/sf0.01"
+    rows, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    model = quality.train(rows, labels)
+    swapped = rows.withColumn("text", F.lit("BUY!! NOW!! " * 50))
+    key = ["source", "lang", "n_chars"]
+    scores = quality.scored(rows.limit(200).unionByName(swapped.limit(200)), model).groupBy(*key).agg(F.countDistinct(F.round("metadata_score", 9)).alias("n"), F.countDistinct("content_score").alias("c")).collect()
+    assert {r["n"] for r in scores} == {1} and any(r["c"] > 1 for r in scores)
+
+
+def test_long_texts_take_part_in_training(spark):
+    filler = "plain words all over the place here. " * 3000
+    rows = [(i, filler + ("you wretched fool. " if i % 3 == 0 else "good morning. "), "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert toxicity.training_sample(docs(spark, rows), labels).count() == sum(not held_out(i) for i in range(60))
+
+
 def test_toxicity_on_held_out_labels(spark):
     path = "/root/testdata/sf0.1"
     rows, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
@@ -184,7 +209,7 @@ def test_toxicity_on_held_out_labels(spark):
     test = [r for r in got if r["held_out"]]
     hit = sum(r["predicted"] for r in test if r["toxic"]) / sum(r["toxic"] for r in test)
     alarm = sum(r["predicted"] for r in test if not r["toxic"]) / sum(1 - r["toxic"] for r in test)
-    assert hit >= 0.8 and alarm <= 0.02
+    assert hit >= 0.9 and alarm <= 0.02
 
 
 def test_sentences_take_the_blame(spark):
