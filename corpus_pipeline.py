@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, line_dedup, minhash, mixing, quality
-from tallyloom.llm.common import durable, table
+from tallyloom.llm.common import durable, table, unused, whole_text
 from tallyloom.shipping import ship
 
 #: The near-duplicate stage: words of a shingle and least similarity in percent.
@@ -35,10 +35,14 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near-duplicates."""
+    """One document, the one with the smallest doc_id, of each group of near-duplicates.
+
+    Where different texts share a doc_id each is judged by itself.
+    """
     ship(spark)
-    groups = minhash.near_dedup(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    return docs.join(groups.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    key = unused(docs, "_key")
+    dropped = minhash.near_dedup(docs, SHINGLE_WORDS, SIMILAR_PERCENT, keyed=True).where("not kept").select("doc_id", F.col("text_md5").alias(key)).distinct()
+    return docs.withColumn(key, F.unhex(F.md5(whole_text()))).join(dropped, ["doc_id", key], "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
