@@ -355,8 +355,9 @@ def labelled_page(rng: random.Random, texts: list[str]) -> str:
             body.append(around(rng.choice(["advert", "share", "form", "sidebar", "notice", "menu"])))
     if rng.random() < 0.3:
         body.append(around(rng.choice(["comments", "comments", "share", "footer"])))
-    before = [around(kind) for kind in ("header", "menu", "notice", "advert", "form") if rng.random() < 0.5]
-    after = [around(kind) for kind in ("share", "comments", "sidebar", "advert", "footer") if rng.random() < 0.5]
+    share = rng.choice([0.0, 0.5, 0.5, 0.5, 0.5, 0.8])
+    before = [around(kind) for kind in ("header", "menu", "notice", "advert", "form") if rng.random() < share]
+    after = [around(kind) for kind in ("share", "comments", "sidebar", "advert", "footer") if rng.random() < share]
     rng.shuffle(before)
     shown = element(pick(HOLDERS), "".join(body))
     if rng.random() < 0.5:
