@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import compositions as co
+from tallyloom.operators.quantiles import quantiles
 
 
 def column_means(panel: DataFrame, d: int) -> DataFrame:
@@ -137,7 +138,9 @@ def scale_guard(rows: DataFrame, threshold: float = 1000.0) -> DataFrame:
     """One row: greatest and median ratio of filled sums to visible sums (or 1), rows over the threshold, rows without an anchor."""
     anchor = co.total(F.filter("c", lambda v: v.isNotNull()))
     ratios = rows.select(anchor.alias("anchor"), (co.total(F.col("filled")) / F.greatest(anchor, F.lit(1.0))).alias("ratio"))
-    return ratios.agg(F.max("ratio").alias("most"), F.percentile("ratio", 0.5).alias("middle"), F.count_if(F.col("ratio") > threshold).alias("flagged"), F.count_if(F.col("anchor") == 0).alias("no_anchor"))
+    middle = quantiles(ratios, [], F.col("ratio")).select(F.col("quantile").alias("middle"))
+    counts = ratios.agg(F.max("ratio").alias("most"), F.count_if(F.col("ratio") > threshold).alias("flagged"), F.count_if(F.col("anchor") == 0).alias("no_anchor"))
+    return counts.join(F.broadcast(middle), F.lit(True), "left").select("most", "middle", "flagged", "no_anchor")
 
 
 def implausible(rows: DataFrame, most: float = 10.0) -> DataFrame:
