@@ -10,7 +10,8 @@ A filter that overflows its kicks doubles and is refilled from its stored keys.
 
 An index kept as a table follows a corpus that gains and loses documents (update_index). An entry
 counts its documents and names the largest doc_id and up to SPARE next ones, so that when the keeper
-is deleted the next one stands ready. When more keepers are deleted than that, the entry is marked
+is deleted the next one stands ready; floor is the largest doc_id that may be among the unnamed ones,
+and only ids from it on are named. When more keepers are deleted than that, the entry is marked
 stale: it still counts right, and renamed() finds its keeper in the corpus.
 
 Defined cases: null text counts as empty, so null and empty texts are one group. Null doc_id never
@@ -39,20 +40,20 @@ FOLD_ENTRIES = 200_000
 LIVE_ENTRIES = 50_000
 #: doc_ids that an entry has in reserve.
 SPARE = 4
-ENTRY = "digest binary, n_bytes long, keep_id long, group_size long, spare array<long>, stale boolean"
+ENTRY = "digest binary, n_bytes long, keep_id long, group_size long, spare array<long>, stale boolean, floor long"
 
 
 class CuckooIndex:
     """A cuckoo filter whose slots point at stored content (digest, length) with a payload.
 
-    Payload: the largest doc_ids, the number of rows, and whether the largest may be unknown.
+    Payload: the largest doc_ids, the number of rows, and the largest doc_id that may be unnamed.
     """
 
     def __init__(self, buckets: int = 256):
         self.keys: list[tuple[bytes, int] | None] = []
         self.ids: list[list[int]] = []
         self.rows: list[int] = []
-        self.stale: list[bool] = []
+        self.floor: list[int | None] = []
         self.live = 0
         self._clear(buckets)
 
@@ -81,24 +82,34 @@ class CuckooIndex:
     def __contains__(self, key: tuple[bytes, int]) -> bool:
         return self._slot(*key) >= 0
 
-    def insert(self, digest: bytes, n_bytes: int, doc_id: int | None, rows: int = 1, spare: Iterable[int] = (), stale: bool = False) -> None:
+    def insert(self, digest: bytes, n_bytes: int, doc_id: int | None, rows: int = 1, spare: Iterable[int] = (), stale: bool = False, floor: int | None = None) -> None:
+        """Adds an entry to its digest's; stale is what the entry's ids and floor say already."""
         ids = [] if doc_id is None else [doc_id, *spare]
         slot = self._slot(digest, n_bytes)
         if slot >= 0:
             ref = self.refs[slot]
             self.rows[ref] += rows
-            self.stale[ref] |= stale
-            if ids:
-                self.ids[ref] = sorted(self.ids[ref] + ids, reverse=True)[: SPARE + 1]
+            self._name(ref, self.ids[ref] + ids, floor)
             return
         self.keys.append((digest, n_bytes))
-        self.ids.append(ids)
+        self.ids.append([])
         self.rows.append(rows)
-        self.stale.append(stale)
+        self.floor.append(None)
+        self._name(len(self.keys) - 1, ids, floor)
         self.live += 1
         if not self._place(len(self.keys) - 1):
             self._grow()
 
+    def _name(self, ref: int, ids: list[int], floor: int | None) -> None:
+        """Names the largest ids; those below what may be unnamed, and those beyond SPARE, are unnamed themselves."""
+        floors = [f for f in (self.floor[ref], floor) if f is not None]
+        ids = sorted(ids, reverse=True)
+        if floors:
+            ids = [i for i in ids if i >= max(floors)]
+        floors += ids[SPARE + 1 :]
+        self.ids[ref] = ids[: SPARE + 1]
+        self.floor[ref] = max(floors) if floors and len(self.ids[ref]) < self.rows[ref] else None
+
     def delete(self, digest: bytes, n_bytes: int) -> bool:
         """Forgets a live digest; True if it was there."""
         slot = self._slot(digest, n_bytes)
@@ -115,16 +126,16 @@ class CuckooIndex:
         if slot < 0:
             return False
         ref = self.refs[slot]
-        ids, all_named = self.ids[ref], len(self.ids[ref]) == self.rows[ref]
+        ids, floor = self.ids[ref], self.floor[ref]
         if doc_id in ids:
             ids.remove(doc_id)
-        elif all_named or doc_id is not None and len(ids) > SPARE and doc_id > ids[-1]:
+        elif len(ids) == self.rows[ref] or doc_id is not None and (floor is None or doc_id > floor):
             return False
         self.rows[ref] -= 1
         if not self.rows[ref]:
             return self.delete(digest, n_bytes)
-        if not ids and doc_id is not None:
-            self.stale[ref] = True
+        if len(ids) == self.rows[ref]:
+            self.floor[ref] = None
         return True
 
     def _place(self, ref: int) -> bool:
@@ -156,7 +167,7 @@ class CuckooIndex:
             yield digest, n_bytes, ids[0] if ids else None, rows
 
     def _stored(self) -> Iterator[tuple]:
-        return (x for x in zip(self.keys, self.ids, self.rows, self.stale, strict=True) if x[0] is not None)
+        return (x for x in zip(self.keys, self.ids, self.rows, self.floor, strict=True) if x[0] is not None)
 
     def drain(self, keep: tuple[bytes, int] | None = None) -> pa.RecordBatch:
         """The entries as a batch, each deleted here; the entry of `keep` stays."""
@@ -164,12 +175,12 @@ class CuckooIndex:
         for key, *_ in found:
             self.delete(*key)
         left = list(self._stored())
-        self.keys, self.ids, self.rows, self.stale = (list(x) for x in zip(*left, strict=True)) if left else ([], [], [], [])
+        self.keys, self.ids, self.rows, self.floor = (list(x) for x in zip(*left, strict=True)) if left else ([], [], [], [])
         self._clear(self.mask + 1)
         for ref in range(len(left)):
             self._place(ref)
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
-        cols = list(zip(*((k[0], k[1], ids[0] if ids else None, rows, ids[1:], stale) for k, ids, rows, stale in found), strict=True)) if found else [()] * 6
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int64()]
+        cols = list(zip(*((k[0], k[1], ids[0] if ids else None, rows, ids[1:], not ids and floor is not None, floor) for k, ids, rows, floor in found), strict=True)) if found else [()] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [f.split()[0] for f in ENTRY.split(", ")])
 
 
@@ -191,13 +202,13 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ENTRY and step, ordered by digest and step: 0 and 2 insert an entry, 1 takes a document."""
     index = CuckooIndex()
     for batch in batches:
-        for digest, n_bytes, doc_id, rows, spare, stale, step in _rows(batch):
+        for digest, n_bytes, doc_id, rows, spare, stale, floor, step in _rows(batch):
             if index.live > LIVE_ENTRIES:
                 yield index.drain(keep=(digest, n_bytes))
             if step == 1:
                 index.remove(digest, n_bytes, doc_id)
             else:
-                index.insert(digest, n_bytes, doc_id, rows, spare, stale)
+                index.insert(digest, n_bytes, doc_id, rows, spare, stale, floor)
     yield index.drain()
 
 
@@ -211,7 +222,7 @@ def _merged(entries: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """One entry per distinct text: digest, n_bytes, keep_id, group_size, spare, stale. Writable as a table."""
+    """One entry per distinct text: digest, n_bytes, keep_id, group_size, spare, stale, floor. Writable as a table."""
     rows = digests(docs).select("digest", "n_bytes", "doc_id", F.lit(1).cast("long").alias("n"))
     return _merged(rows.mapInArrow(_fold, ENTRY).withColumn("step", F.lit(0)))
 
@@ -225,7 +236,7 @@ def update_index(index: DataFrame, inserted: DataFrame | None = None, deleted: D
     names = [f.split()[0] for f in ENTRY.split(", ")]
     steps = index.select(*names, F.lit(0).alias("step"))
     if deleted is not None:
-        gone = digests(deleted).select("digest", "n_bytes", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.array().cast("array<long>").alias("spare"), F.lit(False).alias("stale"), F.lit(1).alias("step"))
+        gone = digests(deleted).select("digest", "n_bytes", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.array().cast("array<long>").alias("spare"), F.lit(False).alias("stale"), F.lit(None).cast("long").alias("floor"), F.lit(1).alias("step"))
         steps = steps.unionByName(gone)
     if inserted is not None:
         steps = steps.unionByName(build_index(inserted).withColumn("step", F.lit(2)))
@@ -237,7 +248,7 @@ def renamed(index: DataFrame, docs: DataFrame) -> DataFrame:
     stale = index.where("stale").select("digest", "n_bytes")
     found = digests(docs).join(stale, ["digest", "n_bytes"]).groupBy("digest", "n_bytes").agg(F.max("doc_id").alias("largest"))
     both = index.join(found, ["digest", "n_bytes"], "left")
-    return both.select("digest", "n_bytes", F.when(F.col("stale"), F.col("largest")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size", F.when(F.col("stale"), F.array().cast("array<long>")).otherwise(F.col("spare")).alias("spare"), F.lit(False).alias("stale"))
+    return both.select("digest", "n_bytes", F.when(F.col("stale"), F.col("largest")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size", F.when(F.col("stale"), F.array().cast("array<long>")).otherwise(F.col("spare")).alias("spare"), F.lit(False).alias("stale"), F.when(~F.col("stale"), F.col("floor")).when(F.col("group_size") > 1, F.col("largest")).alias("floor"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

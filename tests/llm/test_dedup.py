@@ -79,6 +79,42 @@ def test_index_updates_against_rebuilding(spark, seed, monkeypatch):
     assert found == {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.build_index(docs(spark, left)).collect()}
 
 
+@pytest.mark.parametrize("steps, ids, stale, rows", [("-10 +3 -9 -8 -7 -6", [], True, 2), ("-10 +3 -5", [9, 8, 7, 6], False, 5), ("-10 +3 -9 -8 -7 -6 +4", [], True, 3), ("-10 +3 -9 -8 -7 -6 +11", [11], False, 3), ("-11 +5 -10", [9, 8, 7, 6], False, 6)])
+def test_index_knows_what_may_be_unnamed(steps, ids, stale, rows):
+    index = exact_dedup.CuckooIndex()
+    for i in range(5, 11):
+        index.insert(b"k" * 32, 1, i)
+    for step in steps.split():
+        index.insert(b"k" * 32, 1, int(step[1:])) if step[0] == "+" else index.remove(b"k" * 32, 1, int(step[1:]))
+    assert (index.ids[0], not index.ids[0] and index.floor[0] is not None, index.rows[0]) == (ids, stale, rows)
+
+
+def test_index_after_random_gains_and_losses():
+    """Thousands of mixed sequences, passed through stored entries on the way: the keeper is right or marked stale, the count right."""
+    for seed in range(4000):
+        rnd, live, index = random.Random(seed), collections.Counter(), exact_dedup.CuckooIndex()
+        for _ in range(40):
+            doc_id = rnd.choice([None] + list(range(14))) if rnd.random() < 0.98 else 50
+            if rnd.random() < 0.55:
+                index.insert(b"k" * 32, 1, doc_id)
+                live[doc_id] += 1
+            elif live[doc_id]:
+                index.remove(b"k" * 32, 1, doc_id)
+                live[doc_id] -= 1
+            if rnd.random() < 0.1:
+                fresh = exact_dedup.CuckooIndex()
+                for row in index.drain().to_pylist():
+                    fresh.insert(*row.values())
+                index = fresh
+            known, count = [i for i, n in live.items() if n and i is not None], sum(live.values())
+            found = list(index._stored())
+            assert bool(found) == bool(count)
+            if found:
+                _, ids, rows, floor = found[0]
+                assert rows == count
+                assert (ids and ids[0] == max(known)) or not ids and (floor is not None or not known)
+
+
 # --- lines --------------------------------------------------------------------
 
 
