@@ -67,18 +67,41 @@ def marginal_sampler(panel: DataFrame, seed: int = 0) -> DataFrame:
     return with_proposals(panel, marginal_draws(panel, seed))
 
 
-def same_day(panel: DataFrame, window_days: int = 31, min_obs: int = 5, max_widen: int = 2, exclude_own: bool = False, use_time: bool = True, use_group: bool = True, weighting: str = "n", by: tuple[str, ...] = ()) -> DataFrame:
+#: Sums of whole counts are exact in a double while the totals of a table stay below this.
+MAX_TOTALS = 2.0**53
+
+
+def half_widths(kind: str | None, window_days: int, max_widen: int) -> list:
+    """Half-widths of the windows by kind of time: doubling days, neighbouring numbers, the same label, no bound."""
+    if kind == "date":
+        return [window_days << level for level in range(max_widen + 1)]
+    if kind == "numeric":
+        return [0] + [1 << level for level in range(max_widen)]
+    if kind == "label":
+        return [0]
+    if kind is None:
+        return [None]
+    raise ValueError(f"unknown kind of time {kind!r}")
+
+
+def same_day(panel: DataFrame, window_days: int = 28, min_obs: int = 20, max_widen: int = 2, exclude_own: bool = False, use_time: bool = True, use_group: bool = True, weighting: str = "n", by: tuple[str, ...] = (), kind: str = "date") -> DataFrame:
     """row_id, t, k, level, p of every missing cell: the mean share near its day in its group.
 
-    Windows of window_days * 2^level days on both sides; the first with min_obs observed cells
-    decides, else (level max_widen + 1) all cells of the target. Cells of the own entity may be left
-    out. weighting n: sum of counts over sum of totals; equal: mean of the shares. Cells are folded
-    by target, group and day before any window, so a window's rows are days, however many cells.
+    Dates have windows of window_days * 2^level days on both sides, numbers 0, 1, 2, 4 and so on, labels
+    only themselves; the first with min_obs observed cells decides, else (the level after the last) all
+    cells of the target. Cells of the own entity may be left out. weighting n: sum of counts over sum
+    of totals; equal: mean of the shares. Cells are folded by target, group and day before any window,
+    so a window's rows are days, however many cells.
+
+    The plan fails when it runs if the totals add up to over MAX_TOTALS, or if a cell's sums are no
+    numbers or weigh nothing, as for a target without any usable cell: there is no silent 0.
     """
+    if min(window_days, max_widen) < 0 or min_obs < 1 or weighting not in ("n", "equal"):
+        raise ValueError("windows must not be negative, min_obs must be at least 1, weighting n or equal")
     long = cells(panel, by=by).withColumn("g", F.col("grp") if use_group else F.lit(""))
     num, den = (F.col("c"), F.when(F.col("c").isNotNull(), F.col("n"))) if weighting == "n" else (F.col("c") / F.col("n"), F.when(F.col("c").isNotNull(), 1.0))
     sums = [F.count("c").alias("k"), F.coalesce(F.sum(num), F.lit(0.0)).alias("a"), F.coalesce(F.sum(den), F.lit(0.0)).alias("b")]
-    frames = [window_days << level for level in range(max_widen + 1)] if use_time else [None]
+    frames = half_widths(kind if use_time else None, window_days, max_widen)
 
     def near(key: list[str], tag: str) -> DataFrame:
         daily = long.groupBy(*key, "days").agg(*sums)
@@ -91,7 +114,7 @@ def same_day(panel: DataFrame, window_days: int = 31, min_obs: int = 5, max_wide
 
     asked = long.where("c is null").select("row_id", "e", "t", "g", "days", *by)
     found = asked.join(near([*by, "t", "g"], "w"), [*by, "t", "g", "days"])
-    every = long.groupBy(*by, "t").agg(*sums).select(*by, "t", *(F.col(x).alias(f"w{x}_all") for x in "kab"))
+    every = long.groupBy(*by, "t").agg(*sums, F.sum("n").alias("n")).select(*by, "t", F.col("n").alias("totals"), *(F.col(x).alias(f"w{x}_all") for x in "kab"))
     found = found.join(F.broadcast(every), [*by, "t"])
     if exclude_own:
         found = found.join(near([*by, "t", "g", "e"], "o"), [*by, "t", "g", "e", "days"])
@@ -100,13 +123,20 @@ def same_day(panel: DataFrame, window_days: int = 31, min_obs: int = 5, max_wide
     value = lambda x, at: F.col(f"w{x}{at}") - (F.col(f"o{x}{at}") if exclude_own else 0)
     level: Column = F.lit(len(frames))
     k: Column = value("k", "_all")
-    p: Column = value("a", "_all") / F.nullif(value("b", "_all"), F.lit(0.0))
+    a: Column = value("a", "_all")
+    b: Column = value("b", "_all")
     for at in reversed(range(len(frames))):
         enough = value("k", at) >= min_obs
         level = F.when(enough, at).otherwise(level)
         k = F.when(enough, value("k", at)).otherwise(k)
-        p = F.when(enough, value("a", at) / F.nullif(value("b", at), F.lit(0.0))).otherwise(p)
-    return found.select(*by, "row_id", "t", k.alias("k"), level.cast("int").alias("level"), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)).alias("p"))
+        a, b = F.when(enough, value("a", at)).otherwise(a), F.when(enough, value("b", at)).otherwise(b)
+    finite = lambda x: F.abs(x) < float("inf")
+    p = (
+        F.when(~(F.col("totals") <= MAX_TOTALS), F.raise_error(F.lit("the row totals add up to more than 2^53")).cast("double"))
+        .when(F.coalesce(finite(a) & finite(b) & (b > 0), F.lit(False)), F.least(F.greatest(a / b, F.lit(0.0)), F.lit(1.0)))
+        .otherwise(F.raise_error(F.concat(F.lit("no usable cell for target "), F.col("t"), F.lit(" of row "), F.col("row_id"))).cast("double"))
+    )
+    return found.select(*by, "row_id", "t", k.alias("k"), level.cast("int").alias("level"), p.alias("p"))
 
 
 def same_day_mean(panel: DataFrame, by: tuple[str, ...] = (), **options) -> DataFrame:

@@ -117,11 +117,11 @@ def pred_sql() -> str:
     hid AS (SELECT seed, row_id, e, grp, days, n, t, c AS truth_c, h AND NOT (stays = 0 AND nth = 1) AS h, CASE WHEN NOT (h AND NOT (stays = 0 AND nth = 1)) THEN c END AS v FROM an),
     vs AS (SELECT *, n - coalesce(sum(v) OVER (PARTITION BY seed, row_id), 0) AS resid FROM hid),
     mf AS (SELECT seed, t, avg(v / n) AS p FROM vs GROUP BY seed, t),
-    sw AS (SELECT q.seed, q.row_id, q.t, {", ".join(f"count(*) FILTER (q.grp = o.grp AND abs(q.days - o.days) <= {w}) AS k{i}, sum(o.v) FILTER (q.grp = o.grp AND abs(q.days - o.days) <= {w}) / nullif(sum(o.n) FILTER (q.grp = o.grp AND abs(q.days - o.days) <= {w}), 0) AS p{i}" for i, w in enumerate((31, 62, 124)))}, sum(o.v) / sum(o.n) AS pa
+    sw AS (SELECT q.seed, q.row_id, q.t, {", ".join(f"count(*) FILTER (q.grp = o.grp AND abs(q.days - o.days) <= {w}) AS k{i}, sum(o.v) FILTER (q.grp = o.grp AND abs(q.days - o.days) <= {w}) / nullif(sum(o.n) FILTER (q.grp = o.grp AND abs(q.days - o.days) <= {w}), 0) AS p{i}" for i, w in enumerate((28, 56, 112)))}, sum(o.v) / sum(o.n) AS pa
            FROM vs q JOIN vs o ON q.seed = o.seed AND q.t = o.t AND o.v IS NOT NULL WHERE q.v IS NULL GROUP BY q.seed, q.row_id, q.t),
     pp AS (SELECT 'zero_fill' AS model, seed, row_id, t, n, resid, h, truth_c, v, e, grp, 0.0::DOUBLE AS p FROM vs
            UNION ALL SELECT 'mean_fill', seed, row_id, t, n, resid, h, truth_c, v, e, grp, p FROM vs JOIN mf USING (seed, t)
-           UNION ALL SELECT 'same_day_mean', seed, row_id, t, n, resid, h, truth_c, v, e, grp, least(greatest(CASE WHEN k0 >= 5 THEN p0 WHEN k1 >= 5 THEN p1 WHEN k2 >= 5 THEN p2 ELSE pa END, 0), 1) FROM vs LEFT JOIN sw USING (seed, row_id, t)),
+           UNION ALL SELECT 'same_day_mean', seed, row_id, t, n, resid, h, truth_c, v, e, grp, least(greatest(CASE WHEN k0 >= 20 THEN p0 WHEN k1 >= 20 THEN p1 WHEN k2 >= 20 THEN p2 ELSE pa END, 0), 1) FROM vs LEFT JOIN sw USING (seed, row_id, t)),
     su AS (SELECT *, greatest(resid / n, 0) AS lft, sum(CASE WHEN v IS NULL THEN p ELSE 0 END) OVER (PARTITION BY model, seed, row_id) AS s FROM pp),
     pred AS (SELECT model, seed, row_id, t, e, grp, n, truth_c AS truth_count, p * n * CASE WHEN s > lft THEN lft / s ELSE 1 END AS pred_count, truth_c / n AS truth_prop, p * CASE WHEN s > lft THEN lft / s ELSE 1 END AS pred_prop, resid = 0 AS forced_zero, resid <> 0 AS model_cell, truth_c = 0 AS truth_zero FROM su WHERE h)"""
 

@@ -177,10 +177,10 @@ JOIN (SELECT t, c / n AS p, row_number() OVER (PARTITION BY t ORDER BY row_id) -
 reg.add("marginal_sampler", lambda s, d: completed(residual.fill(imputers.marginal_sampler(pn.orders_panel(s, d)))), DONE, "row_id t", "count", BASE + budget(DRAWN, "cap"))
 
 
-def same_day_sql(exclude=False, time=True, group=True, weighting="n", w=31, min_obs=5, widen=2) -> str:
+def same_day_sql(exclude=False, time=True, group=True, weighting="n", w=28, min_obs=20, widen=2, frames=None) -> str:
     """k, level and p of every missing cell by a plain self-join of cells."""
     a, b = ("c", "n") if weighting == "n" else ("c / n", "1.0")
-    frames = [w << k for k in range(widen + 1)] if time else [None]
+    frames = frames or ([w << k for k in range(widen + 1)] if time else [None])
     near = " AND ".join(["q.t = o.t", "o.c IS NOT NULL"] + (["q.e <> o.e"] if exclude else []))
     same = "q.grp = o.grp" if group else "true"
     cols = ", ".join(f"count(*) FILTER ({same} AND {'abs(q.days - o.days) <= ' + str(f) if f is not None else 'true'}) AS k{i}, sum(o.{a.replace('/ n', '/ o.n')}) FILTER ({same} AND {'abs(q.days - o.days) <= ' + str(f) if f is not None else 'true'}) / nullif(sum({b.replace('n', 'o.n')}) FILTER ({same} AND {'abs(q.days - o.days) <= ' + str(f) if f is not None else 'true'}), 0) AS p{i}" for i, f in enumerate(frames))
@@ -200,6 +200,10 @@ VARIANTS = {
 for _name, _v in VARIANTS.items():
     _o = {"exclude_own": _v.get("exclude", False), "use_time": _v.get("time", True), "use_group": _v.get("group", True), "weighting": _v.get("weighting", "n")}
     reg.add(_name, lambda s, d, o=_o: imputers.same_day(pn.orders_panel(s, d), **o), same_day_sql(**_v), "row_id t k level", "p", BASE)
+#: Months as numbers (0, 1, 2, 4 on both sides) and as labels (the same month only).
+MONTHS = BASE + ", cells_ AS (SELECT * REPLACE (days // 30 AS days) FROM cells)"
+for _name, _kind, _frames in (("same_day_numbers", "numeric", [0, 1, 2, 4]), ("same_day_labels", "label", [0])):
+    reg.add(_name, lambda s, d, k=_kind: imputers.same_day(pn.orders_panel(s, d).withColumn("days", F.floor(F.col("days") / 30)), min_obs=8, max_widen=3, kind=k), same_day_sql(min_obs=8, frames=_frames).replace("cells q", "cells_ q").replace("cells o", "cells_ o"), "row_id t k level", "p", MONTHS)
 reg.add("same_day_cascade", lambda s, d: completed(residual.fill(imputers.same_day_mean(pn.orders_panel(s, d), exclude_own=True))), DONE, "row_id t", "count", BASE + budget(same_day_sql(exclude=True), "cap"))
 reg.add("same_day_levels", lambda s, d: imputers.same_day(pn.orders_panel(s, d), window_days=0, min_obs=6).rollup("t", "level").agg(F.count(F.lit(1)).alias("cells")),
         f"SELECT t, level, count(*) AS cells FROM ({same_day_sql(w=0, min_obs=6)}) GROUP BY ROLLUP (t, level)", "t level cells", "", BASE)

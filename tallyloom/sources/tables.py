@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
 import tomllib
@@ -54,17 +55,46 @@ def read_schema(path: str) -> PanelSchema:
     return PanelSchema(**table | {"targets": tuple(table["targets"])})
 
 
-def read_csv(spark: SparkSession, path: str, schema: PanelSchema) -> DataFrame:
-    """All columns as texts, with broken: the row has more or fewer fields than the header."""
-    head = spark.read.text(path).first()
-    if head is None:
+#: Where a row stands in its source: files, their blocks, the order within a read block.
+PLACE = ("_file", "_block", "_nth")
+
+
+def header(spark: SparkSession, path: str) -> list[str]:
+    """The column names of a CSV; the header may hold quoted commas and line feeds."""
+    lines = [r[0] for r in spark.read.text(path).take(100)]
+    if not lines:
         raise TableError("the file is empty")
-    names = [n.strip('"') for n in head[0].lstrip("﻿").split(",")]
+    head, rest = lines[0], lines[1:]
+    while head.count('"') % 2 and rest:
+        head += "\n" + rest.pop(0)
+    return next(csv.reader([head.lstrip("\ufeff")], strict=True))
+
+
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Has a quoted field a line feed? Exactly then a line has an odd number of quotes."""
+    return not spark.read.text(path).where((F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, schema: PanelSchema) -> DataFrame:
+    """All columns as texts, with broken (the row has more or fewer fields than the header) and PLACE.
+
+    A file is read in splits, unless some quoted field has a line feed: then each file is one split.
+    """
+    names = header(spark, path)
     wanted = [schema.entity, *schema.targets, *(c for c in (schema.time, schema.total) if c)]
     if len(set(names)) != len(names) or not set(wanted) <= set(names):
         raise TableError(f"the header lacks or repeats columns of {wanted}")
-    fields = ", ".join(f"`{n}` string" for n in names)
-    return spark.read.schema(f"{fields}, _bad string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", False).csv(path).withColumn("broken", F.col("_bad").isNotNull()).drop("_bad")
+    fields = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    # Without pruning off, fields that no one reads aren't counted and a row of the wrong width passes.
+    options = {"header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "enforceSchema": False, "columnPruning": False, "escape": '"', "multiLine": spans_lines(spark, path)}
+    rows = spark.read.schema(f"{fields}, _bad string").options(**options).csv(path)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_nth"))
+    return placed.withColumn("broken", F.col("_bad").isNotNull()).drop("_bad")
+
+
+def texts(raw: DataFrame) -> Column:
+    """The source fields of a row of read_csv() as one array, in the order of the header."""
+    return F.array(*(F.col(f"`{c}`") for c in raw.columns if c not in (*PLACE, "broken")))
 
 
 def missing(text: Column) -> Column:
@@ -88,10 +118,13 @@ def cell_code(text: Column, may_lack: bool = True) -> Column:
 
 
 def panel_from(raw: DataFrame, schema: PanelSchema) -> DataFrame:
-    """Texts to entity, time, total (n) and counts (c); without a total, n is the sum of the targets."""
+    """Texts to entity, time, total (n) and counts (c); without a total, n is the sum of the targets.
+
+    From a table of read_csv() also source (the fields as they stand there) and PLACE.
+    """
     counts = F.array(*(F.when(~missing(F.col(t)), number(F.col(t))) for t in schema.targets))
     known = F.aggregate(counts, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-    return raw.select(F.trim(schema.entity).alias("entity"), (F.trim(schema.time) if schema.time else F.lit(None).cast("string")).alias("time"), (number(F.col(schema.total)) if schema.total else known).alias("n"), counts.alias("c"), *([F.col(schema.group_col).alias("grp")] if schema.group_col and schema.group_col in raw.columns else []))
+    return raw.select(F.trim(schema.entity).alias("entity"), (F.trim(schema.time) if schema.time else F.lit(None).cast("string")).alias("time"), (number(F.col(schema.total)) if schema.total else known).alias("n"), counts.alias("c"), *([F.col(schema.group_col).alias("grp")] if schema.group_col and schema.group_col in raw.columns else []), *([texts(raw).alias("source"), *PLACE] if set(PLACE) <= set(raw.columns) else []))
 
 
 def cell_problems(raw: DataFrame, schema: PanelSchema) -> DataFrame:
@@ -119,13 +152,24 @@ def violations(panel: DataFrame) -> DataFrame:
 
 def line_of(spark: SparkSession, path: str, schema: PanelSchema, entity: str | None, time: str | None) -> int | None:
     """The first line of a CSV with that entity and time; looked for only when a row is refused."""
-    lines = spark.read.text(path)
-    names = [n.strip('"') for n in lines.first()[0].lstrip("\ufeff").split(",")]
-    numbered = lines.rdd.map(lambda r: r[0]).zipWithIndex().toDF("value string, line long").where("line > 0")
-    row = F.from_csv("value", ", ".join(f"`{n}` string" for n in names)).alias("r")
-    same = lambda c, v: F.col(f"r.`{c}`").eqNullSafe(F.lit(v))
-    found = numbered.select("line", row).where(same(schema.entity, entity) & (same(schema.time, time) if schema.time else F.lit(True))).agg(F.min("line").alias("line")).first()
-    return None if found["line"] is None else found["line"] + 1
+    raw = read_csv(spark, path, schema)
+    feeds = F.aggregate(texts(raw), F.lit(0), lambda n, v: n + F.coalesce(F.length(v) - F.length(F.replace(v, F.lit("\n"), F.lit(""))), F.lit(0)))
+    # Lines before a row: those of the ranges of rows before its own, and those within.
+    placed = raw.withColumn("lines", 1 + feeds).repartitionByRange(*PLACE).sortWithinPartitions(*PLACE).withColumn("part", F.spark_partition_id())
+    starts = placed.groupBy("part").agg(F.sum("lines").alias("all")).select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("start"))  # a row a range
+    own = F.sum("lines").over(Window.partitionBy("part").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0)) - F.col("lines")
+    same = lambda c, v: F.trim(F.col(f"`{c}`")).eqNullSafe(F.lit(v.strip() if v is not None else None))
+    found = placed.withColumn("own", own).join(F.broadcast(starts), "part").where(same(schema.entity, entity) & (same(schema.time, time) if schema.time and time is not None else F.lit(True)))
+    least = found.agg(F.min(F.col("start") + F.col("own")).alias("line")).first()["line"]
+    return None if least is None else least + 2 + sum(n.count("\n") for n in header(spark, path))
+
+
+def refused(code: str, entity: str | None, time: str | None = None, feature: str | None = None, where=None, why: str = "") -> TableError:
+    """The error of a table's row, with code, entity, time, feature and line."""
+    error = TableError(f"{code}: entity {entity!r}, time {time!r}" + (f", column {feature!r}" if feature else "") + (f": {why}" if why else ""))
+    error.code, error.entity, error.time, error.feature = code, entity, time, feature
+    error.line = where(entity, time) if where else None
+    return error
 
 
 def check(panel: DataFrame, more: DataFrame | None = None, where=None) -> None:
@@ -134,10 +178,7 @@ def check(panel: DataFrame, more: DataFrame | None = None, where=None) -> None:
     found = found if more is None else more.unionByName(found)
     first = found.orderBy(F.col("feature").isNull(), "code", "entity", "time", "feature").first()
     if first:
-        error = TableError(f"{first['code']}: entity {first['entity']!r}, time {first['time']!r}" + (f", column {first['feature']!r}" if first["feature"] else ""))
-        error.code, error.entity, error.time, error.feature = first["code"], first["entity"], first["time"], first["feature"]
-        error.line = where(first["entity"], first["time"]) if where else None
-        raise error
+        raise refused(first["code"], first["entity"], first["time"], first["feature"], where)
 
 
 def numbered(rows: DataFrame, *by: str) -> DataFrame:
@@ -178,13 +219,13 @@ def with_groups(rows: DataFrame, mapping: DataFrame, group: str) -> DataFrame:
     return rows.join(mapping.select(F.col("entity"), F.col(group).alias("grp")), "entity", "left")
 
 
-def grouped(spark: SparkSession, rows: DataFrame, schema: PanelSchema, base: Path) -> DataFrame:
-    """rows (entity, maybe grp) with grp: the CSV's column, else the schema's map, else one group for all."""
+def grouped(spark: SparkSession, rows: DataFrame, schema: PanelSchema, base: Path, where=None) -> DataFrame:
+    """rows (entity, time, maybe grp) with grp: the CSV's column, else the schema's map, else one group for all."""
     if schema.group_col is None:
         return rows.withColumn("grp", F.lit("all"))
     if "grp" in rows.columns:
-        if (empty := rows.where(F.coalesce(F.trim("grp"), F.lit("")) == "").first()) is not None:
-            raise TableError(f"empty_group: entity {empty['entity']!r}")
+        if (empty := rows.where(F.coalesce(F.trim("grp"), F.lit("")) == "").orderBy("entity", "time").first()) is not None:
+            raise refused("empty_group", empty["entity"], empty["time"], schema.group_col, where)
         return rows.withColumn("grp", F.trim("grp"))
     if schema.group_map is None:
         raise TableError(f"{schema.group_col!r} is no column of the table and the schema has no group_map")
@@ -195,7 +236,9 @@ def grouped(spark: SparkSession, rows: DataFrame, schema: PanelSchema, base: Pat
     mapping = lookup.select(F.trim(schema.entity).alias("entity"), F.trim(schema.group_col).alias("g")).distinct()
     for code, bad in (("empty_group", mapping.where(F.coalesce("g", F.lit("")) == "")), ("group_conflict", map_conflicts(mapping, "g")), ("no_group", unknown_entities(rows, mapping))):
         if (first := bad.orderBy("entity").first()) is not None:
-            raise TableError(f"{code}: entity {first['entity']!r}")
+            # The entity's first row, if the table has one.
+            row = rows.where(F.col("entity") == first["entity"]).agg(F.min("time").alias("time")).first()
+            raise refused(code, first["entity"], row["time"], schema.group_col, where)
     return with_groups(rows, mapping, "g")
 
 
@@ -207,20 +250,52 @@ def map_conflicts(mapping: DataFrame, group: str) -> DataFrame:
     return mapping.groupBy("entity").agg(F.countDistinct(group).alias("k")).where("k > 1").select("entity")
 
 
-def write_completed(filled: DataFrame, path: str, targets: tuple[str, ...]) -> None:
-    """One CSV folder with a column a target; refuses to overwrite."""
-    filled.select("entity", "days", "n", *(F.get("filled", F.lit(k)).alias(t) for k, t in enumerate(targets))).write.mode("errorifexists").option("header", True).csv(path)
+def write_completed(filled: DataFrame, source: DataFrame, path: str, names: list[str], targets: tuple[str, ...]) -> None:
+    """The source table with its missing targets filled, as a folder of CSV files in the order of the source.
+
+    filled: row_id and filled; source: row_id, source (texts by names) and PLACE. Texts of observed
+    cells, times and all other columns stay as they are; a filled count is the shortest text that
+    reads back as the same number, and stays empty where filled is null. Spark publishes the folder
+    when all parts are written; an existing one is refused.
+    """
+    both = source.join(filled.select("row_id", "filled"), "row_id", "left")
+    cell = lambda i, k: F.when(F.coalesce(missing(F.get("source", F.lit(i))), F.lit(True)), F.get("filled", F.lit(k)).cast("string")).otherwise(F.get("source", F.lit(i)))
+    columns = [(cell(i, targets.index(n)) if n in targets else F.get("source", F.lit(i))).alias(n) for i, n in enumerate(names)]
+    plain = {"header": True, "escape": '"', "nullValue": "", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    both.orderBy(*PLACE).select(*columns).write.mode("errorifexists").options(**plain).csv(path)
+
 
+def read_completed(spark: SparkSession, path: str, schema: PanelSchema, source: DataFrame, names: list[str]) -> DataFrame:
+    """row_id, filled of a folder that write_completed() wrote, checked against the source.
 
-def read_completed(spark: SparkSession, path: str, targets: tuple[str, ...]) -> DataFrame:
-    """entity, days, n, filled of a folder that write_completed() wrote; null counts are refused."""
-    raw = spark.read.option("header", True).csv(path)
-    if not {"entity", "days", "n", *targets} <= set(raw.columns):
-        raise TableError(f"{path} lacks columns of a completed table")
-    rows = raw.select("entity", number(F.col("days")).alias("days"), number(F.col("n")).alias("n"), F.array(*(number(F.col(t)) for t in targets)).alias("filled"))
-    if not rows.where(F.exists("filled", lambda v: v.isNull())).isEmpty():
-        raise TableError(f"{path} has counts that are missing or unreadable")
-    return rows
+    Refused are: other columns or numbers of rows, rows whose keys the source lacks, changed texts
+    outside the targets, changed observed counts, and counts that are missing, unreadable or negative.
+    """
+    raw = read_csv(spark, path, schema)
+    if header(spark, path) != list(names):
+        raise TableError(f"{path} has other columns than its source")
+    keys = lambda side: [F.trim(F.get(side, F.lit(names.index(c)))) for c in (schema.entity, schema.time) if c]
+    mine = source.select("row_id", F.col("source").alias("was"), F.struct(*keys("source")).alias("key"))
+    read = raw.select("broken", texts(raw).alias("now")).withColumn("key", F.struct(*keys("now")))
+    same = [F.get("was", F.lit(i)).eqNullSafe(F.get("now", F.lit(i))) for i, n in enumerate(names) if n not in schema.targets]
+    at = [names.index(t) for t in schema.targets]
+    seen = [F.coalesce(missing(F.get("was", F.lit(i))), F.lit(True)) | (number(F.get("was", F.lit(i))) == number(F.get("now", F.lit(i)))) for i in at]
+    every = lambda tests: F.forall(F.array(*tests), lambda ok: F.coalesce(ok, F.lit(False))) if tests else F.lit(True)
+    counts = F.array(*(number(F.get("now", F.lit(i))) for i in at))
+    code = (
+        F.when(F.col("row_id").isNull() | F.col("now").isNull(), "other_rows")
+        .when(F.col("broken"), "wrong_width")
+        .when(~every(same), "columns_changed")
+        .when(~every(seen), "observed_changed")
+        .when(~F.forall(counts, lambda v: F.coalesce(v >= 0, F.lit(False))), "unreadable_count")
+    )
+    both = mine.join(read, "key", "full").select("row_id", "key", counts.alias("filled"), code.alias("code"))
+    bad = both.where("code IS NOT NULL").orderBy("code", "key").first()
+    if bad:
+        raise TableError(f"{path}: {bad['code']} at {list(bad['key'])}")
+    if raw.count() != source.count():
+        raise TableError(f"{path}: other_rows, some repeated")
+    return both.select("row_id", "filled")
 
 
 def write_predictions(rows: DataFrame, path: str) -> None:

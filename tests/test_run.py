@@ -88,12 +88,100 @@ def test_six_targets_in_every_model_and_mask(spark, tmp_path):
         assert run.main(args + only, spark) == 0
         got = spark.read.parquet(str(out / "predictions"))
         assert got.where("t >= 4").groupBy("model").agg(F.avg("pred_count").alias("x")).where("x <= 0").count() == 0
-        done = tables.read_completed(spark, str(out / "completed_mean_fill"), tuple(names))
-        assert done.count() == 96
+        schema, source = tables.read_schema(str(tmp_path / "s.toml")), spark.read.parquet(str(out / "panel"))
+        assert tables.read_completed(spark, str(out / "completed_mean_fill"), schema, source, tables.header(spark, str(tmp_path / "t.csv"))).count() == 96
     with pytest.raises(SystemExit):
         run.main(["--data", "x", "--schema", str(tmp_path / "s.toml"), "--output", str(tmp_path / "no"), "--only", "micoda", "--rule", "rescale"], spark)
 
 
+ODD = 'place,"a note, quoted",day,n,a,b,c,more\n' + "".join(f'p{i % 4},"x, ""y""",2024-0{1 + i // 4}-01,{20 + i},{i % 5},{"NA" if i % 7 == 3 else "3.0"},{(i * 3) % 8:02d}, z \n' for i in range(24))
+
+
+@pytest.mark.parametrize(
+    ("row", "code"),
+    [
+        ("p9,q,2024-01-01,9,1,2\n", "wrong_width"),
+        ("p9,q,2024-01-01,9,1,2,3,4,5\n", "wrong_width"),
+        ("p9,q,2024-01-01,9,1,2,3,4,5,6,7\n", "wrong_width"),
+        ('p9,"two\nlines",2024-01-01,9,1,2,x,4\n', "not_a_number"),
+        (" p1 ,q, 2024-01-01,9,1,2,3,4\n", "repeated_key"),
+    ],
+)
+def test_strict_with_columns_that_no_one_reads(spark, tmp_path, row, code):
+    schema = written(tmp_path, ODD + row)
+    with pytest.raises(tables.TableError) as error:
+        run.panel_of(spark, str(tmp_path / "t.csv"), schema)
+    assert error.value.code == code and error.value.line == (3 if code == "repeated_key" else 26)
+
+
+def test_quoted_line_feeds_are_one_row(spark, tmp_path):
+    schema = written(tmp_path, ODD + 'p9,"two\nlines, and ""quotes""",2024-01-01,9,1,2,3,4\n')
+    rows = run.panel_of(spark, str(tmp_path / "t.csv"), schema)
+    assert rows.count() == 25 and rows.where("entity = 'p9'").first()["source"][1] == 'two\nlines, and "quotes"'
+    schema = written(tmp_path, 'place,"day\nof","n",a,b,c\nx,2024-01-01,9,1,2,3\nx,2024-01-02,1,1,2,3\n', SCHEMA.replace('"day"', '"day\\nof"'))
+    with pytest.raises(tables.TableError) as error:
+        run.panel_of(spark, str(tmp_path / "t.csv"), schema)
+    assert (error.value.code, error.value.line) == ("counts_exceed_total", 4)
+
+
+def test_every_refusal_names_its_row(spark, tmp_path):
+    def refusal(csv, schema=SCHEMA, groups=None):
+        if groups is not None:
+            (tmp_path / "map.csv").write_text("place,area\n" + groups)
+        with pytest.raises(tables.TableError) as error:
+            run.panel_of(spark, str(tmp_path / "t.csv"), written(tmp_path, csv, schema), tmp_path)
+        return error.value.code, error.value.entity, error.value.time, error.value.line
+
+    mapped, own = SCHEMA + 'group_col = "area"\ngroup_map = "map.csv"\n', SCHEMA + 'group_col = "area"\n'
+    assert refusal("place,day,n,a,b,c\nx,2,9,1,2,3\nx,1.0,9,1,2,3\nx,1,9,1,2,3\n") == ("repeated_time", "x", "1.0", 3)
+    assert refusal(CSV, mapped, "p0,a\np1,a\np3,a\n") == ("no_group", "p2", "2024-01-01", 4)
+    assert refusal(CSV, mapped, "p0,a\np1,a\np2,a\np2,b\np3,a\n") == ("group_conflict", "p2", "2024-01-01", 4)
+    assert refusal(CSV, mapped, "p0,a\np1,\np2,a\np3,a\n") == ("empty_group", "p1", "2024-01-01", 3)
+    assert refusal("place,area,day,n,a,b,c\nx,g,1,9,1,2,3\nx, ,2,9,1,2,3\n", own) == ("empty_group", "x", "2", 3)
+
+
+def test_completed_tables_keep_texts_and_columns(spark, tmp_path):
+    labels = ODD.replace("2024-01-01", "jan").replace("2024-02-01", "apr").replace("2024-03-01", "mar").replace("2024-04-01", "may").replace("2024-05-01", "jun").replace("2024-06-01", "jul")
+    schema = written(tmp_path, labels)
+    args = ["--data", str(tmp_path / "t.csv"), "--schema", str(tmp_path / "s.toml"), "--output", str(tmp_path / "out"), "--only", "mean_fill", "same_day_mean"]
+    assert run.main(args, spark) == 0
+    import csv as plain
+    import io
+
+    before = list(plain.reader(io.StringIO(labels)))
+    parts = sorted((tmp_path / "out/completed_mean_fill").glob("part-*"))
+    after = [row for k, part in enumerate(parts) for row in list(plain.reader(io.StringIO(part.read_text())))[k > 0 :]]
+    assert after[0] == before[0] and len(after) == len(before)
+    for old, new in zip(before[1:], after[1:]):
+        assert all(n == o if o != "NA" else float(n) > 0 for o, n in zip(old, new))
+    # What the re-reader refuses.
+    names, source = tables.header(spark, str(tmp_path / "t.csv")), spark.read.parquet(str(tmp_path / "out/panel"))
+    done = parts[0].read_text().splitlines(keepends=True) if len(parts) == 1 else [",".join(f'"{x}"' if "," in x else x for x in row) + "\n" for row in after]
+    text = "".join(done)
+    for k, (change, code) in enumerate([(lambda t: t.replace("jan", "JAN", 1), "other_rows"), (lambda t: t.replace("p0,", "p7,", 1), "other_rows"), (lambda t: t.replace(" z ", "w", 1), "columns_changed"), (lambda t: t.replace(",3.0,", ",4.0,", 1), "observed_changed"), (lambda t: t + t.splitlines(keepends=True)[1], "other_rows")]):
+        (tmp_path / f"bad{k}.csv").write_text(change(text))
+        with pytest.raises(tables.TableError, match=code):
+            tables.read_completed(spark, str(tmp_path / f"bad{k}.csv"), schema, source, names)
+
+
+def test_rules_by_model():
+    assert run.refused_rules(["same_day_mean", "hron", "tsagris", "micoda_other"], "prop_other") == ["same_day_mean"]
+    assert run.refused_rules(["zero_fill", "mean_fill", "marginal_sampler", "micoda"], "cap") == ["zero_fill", "mean_fill", "marginal_sampler", "micoda"]
+    assert run.refused_rules(["same_day_mean", "hron", "micoda_other"], "rescale") == []
+
+
+def test_windows_by_kind_of_time_and_guards(spark):
+    assert imputers.half_widths("date", 28, 2) == [28, 56, 112] and imputers.half_widths("numeric", 28, 3) == [0, 1, 2, 4]
+    assert imputers.half_widths("label", 28, 2) == [0] and imputers.half_widths(None, 28, 2) == [None]
+    schema = "row_id long, e long, entity string, grp string, days long, n double, c array<double>"
+    rows = [(i, i, "x", "g", i, 10.0, [float(i), 1.0 if i else None]) for i in range(4)]
+    p = lambda kind, **more: imputers.same_day(spark.createDataFrame(rows, schema), kind=kind, min_obs=1, **more).first()["p"]
+    assert p("numeric") == pytest.approx(0.1) and p("label") == pytest.approx(0.1)
+    for bad in ([(0, 0, "x", "g", 0, 10.0, [1.0, None])], [(0, 0, "x", "g", 0, 1e308, [1.0, None]), (1, 1, "x", "g", 0, 10.0, [1.0, 2.0])], [(0, 0, "x", "g", 0, 2.0**53, [1.0, None]), (1, 1, "x", "g", 0, 10.0, [1.0, 2.0])]):
+        with pytest.raises(Exception, match="no usable cell|2\\^53"):
+            imputers.same_day(spark.createDataFrame(bad, schema)).collect()
+
+
 def test_unseen_target_and_long_entities(spark):
     rows = [(i, 0, "x", "g", i, 9.0, [1.0, None]) for i in range(5)]
     panel = spark.createDataFrame(rows, "row_id long, e long, entity string, grp string, days long, n double, c array<double>")

@@ -50,11 +50,13 @@ def test_groups(spark):
 
 
 def test_outputs(spark, tmp_path):
-    filled = spark.createDataFrame([("x", 0, 10.0, [1.0, 2.0])], "entity string, days long, n double, filled array<double>")
-    tables.write_completed(filled, str(tmp_path / "out"), ("a", "b"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "out")).first()["b"] == "2.0"
+    source = spark.createDataFrame([(0, ["x", "NA", "2"], "f", 0, 0)], "row_id long, source array<string>, _file string, _block long, _nth long")
+    filled = spark.createDataFrame([(0, [1.5, 2.0])], "row_id long, filled array<double>")
+    tables.write_completed(filled, source, str(tmp_path / "out"), ["place", "a", "b"], ("a", "b"))
+    row = spark.read.option("header", True).csv(str(tmp_path / "out")).first()
+    assert (row["a"], row["b"]) == ("1.5", "2")
     with pytest.raises(Exception):
-        tables.write_completed(filled, str(tmp_path / "out"), ("a", "b"))
+        tables.write_completed(filled, source, str(tmp_path / "out"), ["place", "a", "b"], ("a", "b"))
     tables.write_na_csv(spark.createDataFrame([(1, None)], "a int, b int"), str(tmp_path / "na"))
     assert spark.read.option("header", True).csv(str(tmp_path / "na")).first()["b"] == "NA"
     rows = spark.createDataFrame([("m", "random_cell", 1.0)], "model string, mask string, pred double")
