@@ -7,9 +7,10 @@ surest of and hands them to the other view's training set. Then both are calibra
 rows that neither was trained on (Platt), and a logistic combination of the calibrated views, fitted
 on the same rows, scores every document.
 
-The fits see bounded samples in the order of a seeded hash: MAX_LABELLED labelled and MAX_POOL
-unlabelled rows, as feature vectors of fixed length; texts never reach the driver. Feature vectors
-come from whole texts, and all rows are scored.
+The fits see MAX_LABELLED labelled rows, in the order of a seeded hash, and what the views hand each
+other: of all unlabelled rows, which every round scores on Spark, the MAX_GIVEN surest of each class.
+They are feature vectors of fixed length, written once for all rows; texts never reach the driver.
+Feature vectors come from whole texts, and all rows are scored.
 
 Defined cases: null text counts as empty, null source and language as values of their own, null
 n_chars as a stated length of its own kind. Labels that are null or without a document are left out; a document
@@ -21,22 +22,21 @@ rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import slices, unused, whole_text
+from tallyloom.llm.common import durable, release, slices, unused, whole_text
 
 MAX_LABELLED = 9_000
-MAX_POOL = 9_000
 ROUNDS = 4
-#: Share of the pool that a view may label in a round, and how sure it must be.
-GROWTH = 0.05
+#: Rows of each class that a view hands on in a round, the surest of all, and how sure it must be.
+MAX_GIVEN = 225
 SURE = 0.97
 RIDGE = 1e-3
 KEEP = 0.5
@@ -120,28 +120,29 @@ def _balanced(y: np.ndarray) -> np.ndarray:
     return np.where(y > 0, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean()))
 
 
+VIEWS = (slice(0, TEXT_FEATURES), slice(TEXT_FEATURES, None))
+
+
 class CoTrained:
     """Two view classifiers, their calibrations and the combination."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, pool: np.ndarray, held: np.ndarray):
-        """x, y: labelled rows; held marks those kept for calibration; pool: unlabelled rows."""
-        views = (slice(0, TEXT_FEATURES), slice(TEXT_FEATURES, None))
+    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, surest: Callable):
+        """x, y: labelled rows; held marks those kept for calibration; surest: what _surest() gives of the unlabelled ones."""
+        views = VIEWS
         sets = [(x[~held], y[~held]) for _ in views]
-        free = np.ones(len(pool), bool)
+        taken: set[int] = set()
         self.views, self.exchanged = views, []
         for _ in range(ROUNDS):
             models = [Logistic(sx[:, v], sy, _balanced(sy)) for v, (sx, sy) in zip(views, sets, strict=True)]
-            given = [0, 0]
+            found, given = surest(models, taken), [0, 0]
             for k, other in ((0, 1), (1, 0)):
-                rows = np.flatnonzero(free)
-                p = models[k].p(pool[rows][:, views[k]])
-                most = max(1, int(GROWTH * len(pool) / 2))
-                good, bad = rows[np.argsort(-p, kind="stable")[:most]], rows[np.argsort(p, kind="stable")[:most]]
-                good, bad = good[models[k].p(pool[good][:, views[k]]) >= SURE], bad[models[k].p(pool[bad][:, views[k]]) <= 1 - SURE]
-                new = np.concatenate([good, bad])
-                free[new] = False
-                given[k] = len(new)
-                sets[other] = np.concatenate([sets[other][0], pool[new]]), np.concatenate([sets[other][1], np.repeat([1.0, 0.0], [len(good), len(bad)])])
+                for label in (1.0, 0.0):
+                    # A row goes to one view only, the first that asks for it.
+                    new = [r for r in found if r["view"] == k and r["label"] == label and r["doc_id"] not in taken][:MAX_GIVEN]
+                    taken.update(r["doc_id"] for r in new)
+                    given[k] += len(new)
+                    if new:
+                        sets[other] = np.concatenate([sets[other][0], np.array([r["vector"] for r in new])]), np.concatenate([sets[other][1], np.full(len(new), label)])
             self.exchanged.append(tuple(given))
             if not sum(given):
                 break
@@ -159,13 +160,12 @@ class CoTrained:
 VECTOR = "doc_id long, quality int, held boolean, vector array<double>"
 
 
-def _sample(docs: DataFrame, labels: DataFrame, seed: int) -> pd.DataFrame:
+def _sample(docs: DataFrame, labels: DataFrame, seed: int) -> tuple[pd.DataFrame, DataFrame]:
+    """The drawn labelled rows, and a table of all unlabelled ones."""
     order = F.xxhash64(F.lit(seed), "doc_id")
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    known = marks.join(ids, "doc_id").orderBy(order, "doc_id").limit(MAX_LABELLED)
-    pool = ids.join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(MAX_POOL).withColumn("quality", F.lit(None).cast("int"))
-    drawn = known.unionByName(pool).withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
+    drawn = marks.join(ids, "doc_id").orderBy(order, "doc_id").limit(MAX_LABELLED).withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 3):
@@ -173,20 +173,65 @@ def _sample(docs: DataFrame, labels: DataFrame, seed: int) -> pd.DataFrame:
             rows = _vectors(b["text"], b["source"], b["lang"], b["n_chars"])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(list(rows), pa.list_(pa.float64()))], [f.split()[0] for f in VECTOR.split(", ")])
 
-    rows = docs.select("doc_id", whole_text().alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(drawn), "doc_id")
-    found = rows.select("doc_id", "quality", "held", "text", "source", "lang", "n_chars").mapInArrow(work, VECTOR).toPandas()
-    return found.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    def vectors(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", "quality", "held", "text", "source", "lang", "n_chars").mapInArrow(work, VECTOR)
+
+    rows = docs.select("doc_id", whole_text().alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).where("doc_id is not null")
+    found = vectors(rows.join(F.broadcast(drawn), "doc_id")).toPandas()
+    pool = rows.join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int")).withColumn("held", F.lit(False))
+    return found.sort_values("doc_id", kind="stable").drop_duplicates("doc_id"), durable(vectors(pool).select("doc_id", "vector"), "quality-pool")
+
+
+GIVEN = "view int, label double, sure double, doc_id long, vector array<double>"
+
+
+def _surest(pool: DataFrame, seed: int) -> Callable:
+    """A function of both models and the rows handed on so far: of all others the surest, for each view and class.
+
+    A task keeps its own surest and Spark merges the tasks' lists. Twice MAX_GIVEN rows, as those
+    that both views want go to one. Rows of one doc_id count once.
+    """
+    names = [f.split()[0] for f in GIVEN.split(", ")]
+    most = 2 * MAX_GIVEN
+
+    def surest(models: list[Logistic], taken: set[int]) -> list:
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[int, float], tuple] = {}
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                x = batch.column(1).flatten().to_numpy().reshape(-1, TEXT_FEATURES + META_FEATURES)
+                free = np.flatnonzero(~np.isin(ids, list(taken)))
+                for k, v in enumerate(VIEWS):
+                    p = models[k].p(x[free][:, v])
+                    for label, sure in ((1.0, p), (0.0, 1 - p)):
+                        some = np.flatnonzero(sure >= SURE)
+                        rows = (sure[some], ids[free[some]], x[free[some]])
+                        if (k, label) in held:
+                            rows = tuple(np.concatenate(both) for both in zip(held[k, label], rows, strict=True))
+                        order = np.lexsort((rows[1], -rows[0]))[:most]
+                        held[k, label] = tuple(r[order] for r in rows)
+            for (k, label), (sure, ids, x) in held.items():
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int32()), pa.array([label] * n, pa.float64()), pa.array(sure), pa.array(ids), pa.array(list(x), pa.list_(pa.float64()))], names)
+
+        order = Window.partitionBy("view", "label").orderBy(F.desc("sure"), F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+        found = pool.mapInArrow(best, GIVEN).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+        return found.orderBy("view", "label", "nth").collect()
+
+    return surest
 
 
 def train(docs: DataFrame, labels: DataFrame, seed: int = 0) -> CoTrained | None:
     """The classifiers, or None without labels of both classes in both folds."""
-    found = _sample(docs, labels, seed)
-    known, pool = found[found["quality"].notna()], found[found["quality"].isna()]
-    for part in (known[known["held"]], known[~known["held"].astype(bool)]):
-        if part["quality"].nunique() < 2:
-            return None
-    stack = lambda rows: np.array(rows["vector"].tolist(), float).reshape(-1, TEXT_FEATURES + META_FEATURES)
-    return CoTrained(stack(known), (known["quality"] > 0).to_numpy(float), stack(pool), known["held"].to_numpy(bool))
+    known, pool = _sample(docs, labels, seed)
+    try:
+        for part in (known[known["held"].astype(bool)], known[~known["held"].astype(bool)]):
+            if part["quality"].nunique() < 2:
+                return None
+        x = np.array(known["vector"].tolist(), float).reshape(-1, TEXT_FEATURES + META_FEATURES)
+        return CoTrained(x, (known["quality"] > 0).to_numpy(float), known["held"].to_numpy(bool), _surest(pool, seed))
+    finally:
+        release(pool)
 
 
 SCORES = ("content_score", "metadata_score", "score")
