@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import durable, release, slices, unused, whole_text
+from tallyloom.llm.common import durable, release, rows_of, slices, unused, whole_text
 
 MAX_LABELLED = 9_000
 ROUNDS = 4
@@ -157,7 +157,9 @@ class CoTrained:
         return *(1 / (1 + np.exp(-z)) for z in logits), self.combined.p(np.column_stack(logits))
 
 
-VECTOR = "doc_id long, quality int, held boolean, vector array<double>"
+VECTOR = "doc_id long, vector array<double>"
+#: Lists of tasks that are merged at once.
+MERGED = 64
 
 
 def _sample(docs: DataFrame, labels: DataFrame, seed: int) -> tuple[pd.DataFrame, DataFrame]:
@@ -168,18 +170,19 @@ def _sample(docs: DataFrame, labels: DataFrame, seed: int) -> tuple[pd.DataFrame
     drawn = marks.join(ids, "doc_id").orderBy(order, "doc_id").limit(MAX_LABELLED).withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 3):
+        for batch in slices(batches):
             b = batch.to_pydict()
             rows = _vectors(b["text"], b["source"], b["lang"], b["n_chars"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(list(rows), pa.list_(pa.float64()))], [f.split()[0] for f in VECTOR.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(rows), pa.list_(pa.float64()))], ["doc_id", "vector"])
 
-    def vectors(rows: DataFrame) -> DataFrame:
-        return rows.select("doc_id", "quality", "held", "text", "source", "lang", "n_chars").mapInArrow(work, VECTOR)
-
-    rows = docs.select("doc_id", whole_text().alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).where("doc_id is not null")
-    found = vectors(rows.join(F.broadcast(drawn), "doc_id")).toPandas()
-    pool = rows.join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int")).withColumn("held", F.lit(False))
-    return found.sort_values("doc_id", kind="stable").drop_duplicates("doc_id"), durable(vectors(pool).select("doc_id", "vector"), "quality-pool")
+    # Texts become vectors where they are read; only vectors are joined.
+    rows = docs.where("doc_id is not null").select("doc_id", whole_text().alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    vectors = durable(rows.mapInArrow(work, VECTOR), "quality-vectors")
+    found = vectors.join(F.broadcast(drawn), "doc_id").toPandas()
+    named = durable(labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "quality-labelled")
+    pool = durable(rows_of(vectors, named, "doc_id", "left_anti"), "quality-pool")
+    release(vectors, named)
+    return found.sort_values("doc_id", kind="stable").drop_duplicates("doc_id"), pool
 
 
 GIVEN = "view int, label double, sure double, doc_id long, vector array<double>"
@@ -214,8 +217,10 @@ def _surest(pool: DataFrame, seed: int) -> Callable:
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int32()), pa.array([label] * n, pa.float64()), pa.array(sure), pa.array(ids), pa.array(list(x), pa.list_(pa.float64()))], names)
 
-        order = Window.partitionBy("view", "label").orderBy(F.desc("sure"), F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-        found = pool.mapInArrow(best, GIVEN).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+        order = [F.desc("sure"), F.xxhash64(F.lit(seed), "doc_id"), "doc_id"]
+        found = pool.mapInArrow(best, GIVEN).withColumn("some", F.spark_partition_id() % MERGED)
+        for keys in (["view", "label", "some"], ["view", "label"]):
+            found = found.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("nth") <= most)
         return found.orderBy("view", "label", "nth").collect()
 
     return surest
