@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import models, more, panels, pilots, tuning
+from tallyloom.plans import diagnoses, models, more, panels, pilots, tuning
 from tallyloom.plans.registry import Query
 
-MODULES = [panels, models, more, pilots, tuning]
+MODULES = [panels, models, more, pilots, tuning, diagnoses]
 
 
 def queries() -> dict[str, Query]:
