@@ -11,9 +11,11 @@ from tallyloom.storage import saved
 RANGES, FEW = 200, 200_000
 
 
-def quantiles(rows: DataFrame, by: list[str], value: Column, q: float = 0.5, few: int | None = None) -> DataFrame:
+def quantiles(rows: DataFrame, by: list[str], value: Column, q: float = 0.5, few: int | None = None, at: Column | None = None) -> DataFrame:
     """by, n, quantile: linear between the two order statistics; null values take no part.
 
+    at: the wanted rank from 0, of by and n, instead of q; whole ranks give the order statistic itself.
+
     A pass sketches RANGES quantiles of what is left of each group, keeps the four ranges around the
     wanted rank and counts what lies below them; the sketch's error is a tenth of a range, so the
     rank is always within, and the counts are checked. Passes go on until no group has more than
@@ -22,7 +24,7 @@ def quantiles(rows: DataFrame, by: list[str], value: Column, q: float = 0.5, few
     """
     few, key = FEW if few is None else few, by or ["_all"]
     left = rows.select(*(by or [F.lit(0).alias("_all")]), value.alias("v")).where("v IS NOT NULL")
-    at = (F.col("n") - 1) * q
+    at = (F.col("n") - 1) * q if at is None else at.cast("double")
     ranks = saved(left.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("at", F.floor(at)).withColumn("past", at - F.floor(at)).withColumn("below", F.lit(0).cast("long")).withColumn("inside", F.col("n")), "ranks")
     most = ranks.agg(F.max("inside")).first()[0] or 0
     while most > few:
