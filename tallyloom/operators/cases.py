@@ -43,6 +43,34 @@ def verdict(rates: DataFrame, regrets: DataFrame, least_mean: float = 0.8, least
     return a.join(F.broadcast(b)).withColumn("verdict", said).withColumn("regret_ok", F.col("small_regret") >= good_cases)
 
 
+def verdict_by_mask(rates: DataFrame, least_mean: float = 0.8, least_each: float = 0.5, least_cases: int = 4) -> DataFrame:
+    """mask, cases, mean_rate, least_rate, verdict: a row a mask, and one without a mask for all.
+
+    rates: mask, rate, a row a case; null rates are no cases. A mask of fewer than least_cases cases is
+    insufficient, and so is all if any mask is; all passes if every mask does.
+    """
+    per = rates.groupBy("mask").agg(F.count("rate").alias("cases"), F.avg("rate").alias("mean_rate"), F.min("rate").alias("least_rate"))
+    good = (F.col("mean_rate") >= least_mean) & (F.col("least_rate") >= least_each)
+    said = per.withColumn("verdict", F.when(F.col("cases") < least_cases, "insufficient").when(good, "pass").otherwise("fail"))
+    worst = F.when(F.count_if(F.col("verdict") == "insufficient") > 0, "insufficient").when(F.count_if(F.col("verdict") == "fail") > 0, "fail").otherwise("pass")
+    whole = said.agg(F.count(F.lit(1)).alias("masks"), F.sum("cases").alias("cases"), (F.sum(F.col("mean_rate") * F.col("cases")) / F.sum("cases")).alias("mean_rate"), F.min("least_rate").alias("least_rate"), worst.alias("verdict")).where("masks > 0")
+    return said.unionByName(whole.withColumn("mask", F.lit(None).cast(said.schema["mask"].dataType)).drop("masks"))
+
+
+def decoys_worse(scores: DataFrame, real: list[str], decoys: list[str], higher_is_worse: bool = True) -> DataFrame:
+    """mask, case, decoy, worse: does the score put the decoy strictly behind every real model?
+
+    scores: mask, case, model, score. worse is null where the decoy or any real model has no score.
+    """
+    sign = 1 if higher_is_worse else -1
+    own = F.when(F.col("model").isin(real), F.col("score") * sign)
+    # Of repeated rows the least bad one counts for a decoy, the worst one for a real model.
+    fake = F.array(*(F.struct(F.lit(m).alias("decoy"), F.min(F.when(F.col("model") == m, F.col("score") * sign)).alias("score")) for m in decoys))
+    per = scores.groupBy("mask", "case").agg(F.max(own).alias("worst"), F.countDistinct(F.when(own.isNotNull(), F.col("model"))).alias("known"), fake.alias("fake"))
+    each = per.select("mask", "case", "worst", "known", F.explode("fake").alias("f"))
+    return each.select("mask", "case", "f.decoy", F.when(F.col("known") == len(real), F.col("f.score") > F.col("worst")).alias("worse"))
+
+
 def outside_span(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """rows with positive (filled with a count) and flag: positive on a day outside the target's days of positive visible counts.
 

@@ -56,8 +56,11 @@ def alr_start(rows: DataFrame, d: int, reference: int) -> DataFrame:
 def pattern_statistics(rows: DataFrame, d: int) -> DataFrame:
     """By missing pattern (bits): n, sums of ln y by part, of ln R, of R^2 and of known y^2.
 
-    R is what the known parts of a row leave of 1.
+    R is what the known parts of a row leave of 1. A pattern has room for 31 parts, more are refused;
+    alr.fit takes any number.
     """
+    if d > 31:
+        raise FitError(f"invalid_input: {d} parts, and a pattern holds 31")
     bits = co.total(F.transform("y", lambda v, j: F.when(v.isNull(), F.pow(F.lit(2.0), j)).otherwise(0.0))).cast("int")
     left = F.greatest(1 - co.total(F.col("y")), F.lit(1e-300))
     gaps = F.exists("y", lambda v: v.isNull())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,21 @@ KINDS = ("none", "random_cell", "whole_feature", "whole_feature_matched")
 RANGES = 1024
 
 
+@dataclass(frozen=True)
+class Target:
+    """The shares pi by stratum that a matched mask aims at, and the cuts of n that make the strata."""
+
+    q1: float
+    q2: float
+    pi: dict[str, float]
+
+    def __post_init__(self):
+        if not self.q1 < self.q2:
+            raise ValueError(f"cut points of a mask target must rise, not {self.q1} and {self.q2}")
+        if not self.pi or not all(v >= 0 for v in self.pi.values()) or not abs(sum(self.pi.values()) - 1) <= 1e-9:
+            raise ValueError("shares of a mask target must be 0 or more and sum to 1")
+
+
 def validate_mask(kind: str, rate: float) -> None:
     """Raises ValueError unless the kind is known and 0 <= rate < 1."""
     if kind not in KINDS:
@@ -51,19 +68,21 @@ def _accepted(series: DataFrame, patterns: DataFrame) -> DataFrame:
     """series (e, t, key, size) with accepted: not where hiding it leaves a row without a target.
 
     A row belongs to one entity, so only earlier series of the same entity matter; and rows matter
-    only by which targets they show, a bit pattern: the fold runs over an entity's few patterns.
+    only by which targets they show, arrays of booleans for any number of targets: the fold runs over
+    an entity's few patterns.
     """
     ordered = series.groupBy("e").agg(F.sort_array(F.collect_list(F.struct("key", "t", "size"))).alias("draws"))
-    both = ordered.join(patterns.groupBy("e").agg(F.collect_set("bits").alias("shown")), "e")
+    both = ordered.join(patterns.groupBy("e").agg(F.collect_set("shown").alias("shown")), "e")
 
     def step(taken: Column, draw: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), draw["t"])
-        after = taken.bitwiseOR(bit)
-        stuck = F.exists("shown", lambda p: (p.bitwiseAND(bit) != 0) & (p.bitwiseAND(F.bitwise_not(after)) == 0))
-        return F.when(stuck, taken).otherwise(after)
+        left = lambda p: F.exists(F.zip_with(p, taken, lambda has, gone: has & ~gone), lambda x: x)
+        without = lambda p: F.transform(p, lambda has, i: has & (i != draw["t"]))
+        stuck = F.exists("shown", lambda p: F.get(p, draw["t"]) & ~left(without(p)))
+        return F.when(stuck, taken).otherwise(F.transform(taken, lambda gone, i: gone | (i == draw["t"])))
 
-    taken = both.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), step))
-    return taken.select("e", F.explode("draws").alias("d"), "taken").select("e", "d.t", "d.key", "d.size", (F.col("taken").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("d.t"))) != 0).alias("accepted"))
+    nothing = F.transform(F.get("shown", F.lit(0)), lambda v: F.lit(False))
+    taken = both.withColumn("taken", F.aggregate("draws", nothing, step))
+    return taken.select("e", F.explode("draws").alias("d"), "taken").select("e", "d.t", "d.key", "d.size", F.get("taken", F.col("d.t")).alias("accepted"))
 
 
 def whole_feature(panel: DataFrame, rate: float, seed: int, weights: DataFrame | None = None) -> DataFrame:
@@ -83,8 +102,8 @@ def whole_feature(panel: DataFrame, rate: float, seed: int, weights: DataFrame |
         # -log(1 - u) / w is increasing in the drawing order; squeezed into [0, 1).
         raw = -F.log1p(-u) / F.col("w")
         series = series.join(weights.where("w > 0"), ["e", "t"]).withColumn("key", raw / (1 + raw)).drop("w")
-    bits = F.aggregate(F.transform("c", lambda v, i: F.when(v.isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a + b)
-    drawn = _accepted(series, panel.select("e", bits.alias("bits")).where("bits > 0").distinct())
+    patterns = panel.select("e", observed().alias("shown")).where(F.exists("shown", lambda x: x)).distinct()
+    drawn = _accepted(series, patterns)
     goal = seen.agg((F.count(F.lit(1)) * rate).alias("goal"))
     sized = before(drawn.withColumn("counts", F.when(F.col("accepted"), F.col("size")).otherwise(0)), F.col("key"), "counts", "hidden_before")
     return sized.join(F.broadcast(goal)).select("e", "t", "key", "size", "accepted", (F.col("accepted") & (F.col("hidden_before") < F.col("goal"))).alias("taken"), (F.col("hidden_before") < F.col("goal")).alias("reached"))
@@ -115,18 +134,51 @@ def model_decided() -> Column:
     return F.zip_with("c", forced_zero(), lambda v, z: v.isNull() & ~z)
 
 
-def matched_weights(panel: DataFrame) -> DataFrame:
-    """e, t, w: how well a series stands for the strata of the model-decided missing cells.
+def aimed(panel: DataFrame, target: Target | None) -> tuple[DataFrame, DataFrame]:
+    """The panel with q1 and q2, and stratum, pi: of the target, or of the panel's own model-decided cells."""
+    if target is None:
+        cut = panel.join(F.broadcast(cuts(panel)))
+        return cut, shares(cut, model_decided()).withColumnRenamed("share", "pi")
+    cut = panel.withColumn("q1", F.lit(float(target.q1))).withColumn("q2", F.lit(float(target.q2)))
+    return cut, panel.sparkSession.createDataFrame([(k, float(v)) for k, v in sorted(target.pi.items())], "stratum string, pi double")
+
 
-    w = sum over strata of n(series, stratum) * pi(stratum) / p(stratum): pi the target shares,
-    p the shares of observed cells. Strata that no observed cell has can't be reached.
+def matched_weights(panel: DataFrame, target: Target | None = None) -> DataFrame:
+    """e, t, w: how well a series stands for the strata of the target.
+
+    w = sum over strata of n(series, stratum) * pi(stratum) / p(stratum): pi the target shares (without
+    a target those of the model-decided missing cells), p the shares of observed cells. Strata that
+    no observed cell has can't be reached; reachability() lists them.
     """
-    cut = panel.join(F.broadcast(cuts(panel)))
-    ratio = shares(cut, observed()).withColumnRenamed("share", "p").join(shares(cut, model_decided()).withColumnRenamed("share", "pi"), "stratum", "left").select("stratum", (F.coalesce("pi", F.lit(0.0)) / F.col("p")).alias("ratio"))
+    cut, aim = aimed(panel, target)
+    ratio = shares(cut, observed()).withColumnRenamed("share", "p").join(aim, "stratum", "left").select("stratum", (F.coalesce("pi", F.lit(0.0)) / F.col("p")).alias("ratio"))
     per = cells(cut.withColumn("s", F.transform("c", lambda v: stratum())), "s").where("c is not null").groupBy("e", "t", F.col("s").alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
     return per.join(F.broadcast(ratio), "stratum").groupBy("e", "t").agg(F.sum(F.col("n") * F.col("ratio")).alias("w"))
 
 
+def reachability(panel: DataFrame, rate: float, target: Target | None = None) -> DataFrame:
+    """stratum, pi, cells, wanted, lacking, reachable for each stratum of the target, before anything is drawn.
+
+    cells: observed cells there; wanted: pi of the cells that a mask of that rate hides; lacking: what
+    of them the stratum can't give; reachable: it has any observed cell.
+    """
+    validate_mask("whole_feature_matched", rate)
+    cut, aim = aimed(panel, target)
+    per = cut.select(stratum().alias("stratum"), F.size(F.filter(observed(), lambda x: x)).cast("long").alias("n")).groupBy("stratum").agg(F.sum("n").alias("cells"))
+    goal = per.agg((F.coalesce(F.sum("cells"), F.lit(0)) * rate).alias("goal"))
+    wanted = F.col("pi") * F.col("goal")
+    every = aim.join(per, "stratum", "left").join(F.broadcast(goal)).withColumn("cells", F.coalesce("cells", F.lit(0).cast("long")))
+    return every.select("stratum", "pi", "cells", wanted.alias("wanted"), F.greatest(wanted - F.col("cells"), F.lit(0.0)).alias("lacking"), (F.col("cells") > 0).alias("reachable"))
+
+
+def weight_record(panel: DataFrame, target: Target | None = None) -> DataFrame:
+    """One row: candidate series and cells, series of weight 0, strata out of reach and their mass."""
+    series = matched_weights(panel, target).agg(F.count(F.lit(1)).alias("candidate_series"), F.count_if(F.col("w") == 0).alias("zero_weight_series"))
+    strata = reachability(panel, 0.0, target).agg(F.count_if(~F.col("reachable")).alias("unreachable_strata"), F.coalesce(F.sum(F.when(~F.col("reachable"), F.col("pi"))), F.lit(0.0)).alias("unreachable_mass"))
+    seen = panel.agg(F.coalesce(F.sum(F.size(F.filter(observed(), lambda x: x))), F.lit(0)).cast("long").alias("candidate_cells"))
+    return series.join(F.broadcast(seen)).join(F.broadcast(strata))
+
+
 def total_variation(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: half the sum of absolute share differences over the union of strata."""
     both = a.withColumnRenamed("share", "x").join(b.withColumnRenamed("share", "y"), "stratum", "full")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import diagnoses, models, more, panels, pilots, regressions, tuning
+from tallyloom.plans import diagnoses, models, more, panels, pilots, regressions, tuning, verdicts
 from tallyloom.plans.registry import Query
 
-MODULES = [panels, models, more, pilots, tuning, diagnoses, regressions]
+MODULES = [panels, models, more, pilots, tuning, diagnoses, regressions, verdicts]
 
 
 def queries() -> dict[str, Query]:
