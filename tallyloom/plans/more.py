@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyloom import panel as pn
@@ -11,14 +13,26 @@ from tallyloom.plans import models, panels
 from tallyloom.plans.panels import BASE
 from tallyloom.plans.registry import Registry
 from tallyloom.plans.sqltext import ANCHOR, EVENTS, HIDE, ORDERS, TRAIN, u
-from tallyloom.sources import tables
+from tallyloom.sources import states, tables
+from tallyloom.storage import saved, shared_dir
 from tallyloom.streaming import panels as streams
 
 reg = Registry()
 
-reg.add("training_mask", lambda s, d: pn.cells(pn.orders_panel(s, d).withColumn("h", masking.random_cell(0.15, 3, TRAIN)), "h").where("h").select("row_id", "t"), "SELECT row_id, t FROM an WHERE h AND NOT (stays = 0 AND nth = 1)", "row_id t", "",
-        f"""{BASE}, dr AS (SELECT *, c IS NOT NULL AND {u("e", "days", "t", TRAIN + 3)} < 0.15 AS h, {u("e", "days", "t", ANCHOR + (TRAIN - HIDE) // 2 + 3)} AS a FROM cells),
-        an AS (SELECT *, count(*) FILTER (c IS NOT NULL AND NOT h) OVER (PARTITION BY row_id) AS stays, row_number() OVER (PARTITION BY row_id ORDER BY CASE WHEN c IS NULL THEN 1 ELSE 0 END, a, t) AS nth FROM dr)""")
+#: Training cells of the recipe (0.15, 3).
+TRAINED = f"""{BASE}, dr AS (SELECT *, c IS NOT NULL AND {u("e", "days", "t", TRAIN + 3)} < 0.15 AS h, {u("e", "days", "t", ANCHOR + (TRAIN - HIDE) // 2 + 3)} AS a FROM cells),
+        an AS (SELECT *, count(*) FILTER (c IS NOT NULL AND NOT h) OVER (PARTITION BY row_id) AS stays, row_number() OVER (PARTITION BY row_id ORDER BY CASE WHEN c IS NULL THEN 1 ELSE 0 END, a, t) AS nth FROM dr)"""
+reg.add("training_mask", lambda s, d: pn.cells(pn.orders_panel(s, d).withColumn("h", masking.random_cell(0.15, 3, TRAIN)), "h").where("h").select("row_id", "t"), "SELECT row_id, t FROM an WHERE h AND NOT (stays = 0 AND nth = 1)", "row_id t", "", TRAINED)
+
+
+def restored_state(s, d):
+    """The training cells' labels of a state that was exported and read back under its checks."""
+    panel, path = saved(pn.orders_panel(s, d), "panel"), f"{shared_dir(s)}/states/{uuid.uuid4().hex}"
+    states.export(panel, 0.15, 3, path)
+    return states.restore(panel, 0.15, 3, path).select("row_id", F.posexplode("labels").alias("t", "label")).where("label IS NOT NULL")
+
+
+reg.add("initial_state_labels", restored_state, "SELECT row_id, t, c / n AS label FROM an WHERE h AND NOT (stays = 0 AND nth = 1)", "row_id t", "label", TRAINED)
 reg.add("clr_features", lambda s, d: staged.clr_features(pn.orders_panel(s, d)).select("row_id", F.posexplode("f").alias("t", "f")), "SELECT row_id, t, ln(CASE WHEN x > 0 THEN x END) - avg(ln(CASE WHEN x > 0 THEN x END)) OVER (PARTITION BY row_id) AS f FROM x", "row_id t", "f", BASE)
 reg.add("time_embedding", lambda s, d: pn.orders_full(s, d).select("row_id", F.posexplode(staged.time_embedding(F.col("days"))).alias("k", "v")), "SELECT row_id, k, CASE WHEN k < 4 THEN sin(days * pow(10000.0, -2 * k / 8.0)) ELSE cos(days * pow(10000.0, -2 * (k - 4) / 8.0)) END AS v FROM (SELECT DISTINCT row_id, days FROM full_cells), (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS k)", "row_id k", "v", ORDERS)
 reg.add("initial_completion", lambda s, d: staged.initial(pn.orders_panel(s, d)).select("row_id", F.posexplode("filled").alias("t", "count")))
