@@ -212,3 +212,32 @@ def test_stream_counts_equal_batch_counts(spark, sf, tmp_path):
     batch = streams.window_counts(events, pn.EVENTS)
     assert batch.agg(F.sum("n")).first()[0] == events.count()
     assert streams.sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_vector_topk_reads_queries_alone(spark, sf, monkeypatch):
+    from tallyloom.plans import catalog
+
+    asked, real = [], neighbours.vector_topk
+    monkeypatch.setattr(neighbours, "vector_topk", lambda q, v, k: (asked.append(q.where("row_id % 20 <> 0").count()), real(q, v, k))[1])
+    assert catalog.queries()["vector_topk"](spark, sf).count() == 125
+    assert asked == [0]
+
+
+def test_vector_topk_of_odd_vectors_matches_sql(spark, tmp_path, monkeypatch):
+    import duckdb
+    import numpy as np
+
+    from tallyloom.plans import catalog
+
+    rng = np.random.default_rng(5)
+    lists = [rng.integers(-2, 3, 6).astype(float).tolist() for _ in range(300)]  # many ties
+    lists[20], lists[21], lists[40], lists[41] = None, [], [float("nan")] + [1.0] * 5, [None] * 6
+    lists[60], lists[61], lists[80] = [1.0, None, 2.0, 0.0, 0.0, 1.0], [1.0] * 9, [float("inf")] * 6
+    lists[100:140] = [[1.0, 1.0, 0.0, 0.0, 0.0, 0.0]] * 40
+    rows = [(i, v, 0) for i, v in enumerate(lists)] + [(100, lists[100], 0), (101, lists[101], 0)]
+    monkeypatch.setattr(neighbours, "QUERY_BYTES", 1024)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(map(str, (tuple(r) for r in catalog.queries()["vector_topk"](spark, str(tmp_path)).collect())))
+    assert got == sorted(map(str, con.sql(catalog.oracle_sql()["vector_topk"]).fetchall()))
