@@ -50,6 +50,14 @@ class WebPError(ValueError):
     """A stream that isn't lossless WebP or breaks its rules."""
 
 
+def _places(marked: np.ndarray) -> np.ndarray:
+    """Where a one-dimensional array isn't 0."""
+    return marked.nonzero()[0]
+
+
+#: Powers of two up to those of the longest code.
+POWERS = 1 << np.arange(16)
+
 # --- reading -----------------------------------------------------------------
 
 
@@ -101,16 +109,18 @@ class PrefixCode:
     """Canonical code from lengths; one symbol alone takes no bits."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+        used = _places(lengths)
         if not len(used):
             used = np.array([0])
         self.only = int(used[0]) if len(used) == 1 else None
-        self.symbols = used[np.lexsort((used, lengths[used]))]
-        sizes = lengths[self.symbols].astype(np.int64)
+        sizes = lengths[used]
+        order = sizes.argsort(kind="stable")
+        self.symbols, sizes = used[order], sizes[order]
         self.depth = int(sizes[-1]) if self.only is None else 0
-        if self.only is None and int((1 << (self.depth - sizes)).sum()) != 1 << self.depth:
+        self._times = POWERS[self.depth - sizes] if self.only is None else None
+        if self.only is None and int(self._times.sum()) != 1 << self.depth:
             raise WebPError("prefix code is not complete")
-        self._sizes, self._table, self._arrays = sizes, None, None
+        self._sizes, self._table, self._arrays, self._packed = sizes, None, None, None
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and its bits for every next `depth` bits as read."""
@@ -118,10 +128,19 @@ class PrefixCode:
             if self.only is not None:
                 self._arrays = np.array([self.only], np.int32), np.zeros(1, np.int32)
             else:
-                times, order = 1 << (self.depth - self._sizes), _mirrored(self.depth)
+                times, order = self._times, _mirrored(self.depth)
                 self._arrays = np.repeat(self.symbols.astype(np.int32), times)[order], np.repeat(self._sizes.astype(np.int32), times)[order]
         return self._arrays
 
+    def packed(self) -> np.ndarray:
+        """The same in one number, the bits in its lowest four."""
+        if self._packed is None:
+            if self.only is not None:
+                self._packed = np.array([self.only << 4])
+            else:
+                self._packed = (self.symbols << 4 | self._sizes).repeat(self._times)[_mirrored(self.depth)]
+        return self._packed
+
     def table(self) -> list[tuple[int, int]]:
         """The same as a list of pairs."""
         if self._table is None:
@@ -148,42 +167,44 @@ def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
             lengths[s] = 1
         return PrefixCode(lengths)
     outer = np.zeros(19, np.int64)
-    for place in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
-        outer[place] = bits.read(3)
+    count = 4 + bits.read(4)
+    word = bits.slice(bits.at, 3 * count)
+    bits.at += 3 * count
+    for place in CODE_LENGTH_ORDER[:count]:
+        outer[place] = word & 7
+        word >>= 3
     code = PrefixCode(outer)
     left = alphabet if not bits.read(1) else 2 + bits.read(2 + 2 * bits.read(3))
     if code.depth <= 1 and code.symbols[-1] < 16 and left <= alphabet:
         lengths[:left] = code.symbols[bits.read_array(left) if code.depth else 0]
         return PrefixCode(lengths)
     # The next bits as one number: no length takes more than 14.
-    byte, table, mask = bits.at >> 3, code.table() if code.only is None else [(code.only, 0)], (1 << code.depth) - 1
+    byte, table, mask = bits.at >> 3, code.packed().tolist(), (1 << code.depth) - 1
     word, taken = int.from_bytes(bits.data[byte : byte + 2 * alphabet + 8], "little") >> (bits.at & 7), 0
     values: list[int] = []
-    times: list[int] = []
-    filled, previous = 0, 8
-    while filled < alphabet and left > 0:
+    previous = 8
+    while left > 0 and len(values) < alphabet:
         left -= 1
-        s, size = table[word & mask]
+        s = table[word & mask]
+        size = s & 15
+        s >>= 4
         word >>= size
         taken += size
-        run = 1
         if s < 16:
             if s:
                 previous = s
+            values.append(s)
         else:
             extra, least, s = (2, 3, previous) if s == 16 else (3, 3, 0) if s == 17 else (7, 11, 0)
-            run = least + (word & (1 << extra) - 1)
+            values += [s] * (least + (word & (1 << extra) - 1))
             word >>= extra
             taken += extra
-        values.append(s)
-        times.append(run)
-        filled += run
-    if filled > alphabet:
+    if len(values) > alphabet:
         raise WebPError("code lengths run over")
     bits.at += taken
     if bits.at > bits.end:
         raise WebPError("the stream ends early")
-    lengths[:filled] = np.repeat(values, times)
+    lengths[: len(values)] = values
     return PrefixCode(lengths)
 
 
@@ -225,10 +246,9 @@ def _read_image(bits: Bits, width: int, height: int, meta: bool) -> np.ndarray:
     return _read_symbols(bits, codes, group_of, shift, across, cache_bits, width, height)
 
 
-def _extra(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Extra bits of a length or distance code, and the least value it stands for."""
-    bits = np.maximum(0, code - 2 >> 1)
-    return bits, np.where(code < 4, code + 1, ((2 + (code & 1)) << bits) + 1)
+#: Extra bits of each length or distance code, and the least value it stands for.
+EXTRA_OF = np.array([max(0, c - 2 >> 1) for c in range(DISTANCE_CODES)])
+LEAST_OF = np.array([c + 1 if c < 4 else ((2 + (c & 1)) << (c - 2 >> 1)) + 1 for c in range(DISTANCE_CODES)])
 
 
 def _read_at_once(bits: Bits, codes: list[PrefixCode], cache_bits: int, width: int, total: int) -> np.ndarray | None:
@@ -236,46 +256,57 @@ def _read_at_once(bits: Bits, codes: list[PrefixCode], cache_bits: int, width: i
     if all(c.only is not None for c in codes[:4]) and codes[0].only < 256:
         return np.tile(np.array([c.only for c in codes[:4]], np.uint8), (total, 1))
     first, n = bits.at >> 3, bits.end - bits.at
-    raw = np.frombuffer(bits.data + bytes(24), np.uint8)[first:].astype(np.uint32)
-    four = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-    ahead = (four[:, None] >> np.arange(8, dtype=np.uint32)).ravel()[bits.at & 7 :]  # the next 25 bits or more at each bit
-    at = np.arange(n + 1, dtype=np.int32)
-
-    def look(code: PrefixCode, where) -> tuple[np.ndarray, np.ndarray]:
-        symbols, sizes = code.arrays()
-        window = (ahead[where] & np.uint32((1 << code.depth) - 1)).astype(np.intp)
-        return symbols[window], sizes[window]
-
-    green, size = look(codes[0], slice(0, n + 1))
-    after = at + size  # where what follows green begins
-    jump, sizes_of = after, {}
+    # The next 25 bits or more at each bit, from four bytes at each byte.
+    four = np.ndarray(len(bits.data) + 20 - first, "<u4", bits.data + bytes(24), first, (1,)).astype(np.int64)
+    ahead = np.empty((len(four), 8), np.int64)
+    for shift in range(8):
+        np.right_shift(four, shift, out=ahead[:, shift])
+    ahead = ahead.ravel()[bits.at & 7 :]
+
+    def look(code: PrefixCode, where) -> np.ndarray:
+        return code.packed().take(ahead[where] & (1 << code.depth) - 1, mode="wrap")
+
+    green, at = look(codes[0], slice(0, n + 1)), np.arange(n + 64)
+    after = at[: n + 1] + (green & 15)  # where what follows green begins
+    jump, beyond = after, {}
     for code in codes[1:4]:
         if code.only is None:
-            if id(code) not in sizes_of:
-                sizes_of[id(code)] = code.arrays()[1][(ahead[: n + 64] & np.uint32((1 << code.depth) - 1)).astype(np.intp)]
-            jump = jump + sizes_of[id(code)][jump]
+            if id(code) not in beyond:
+                beyond[id(code)] = at + (look(code, slice(0, n + 64)) & 15)
+            jump = beyond[id(code)].take(jump, mode="wrap")
     if codes[0].symbols.max() > 255:
         jump = jump.copy() if jump is after else jump
-        special = np.flatnonzero(green > 255)
+        special = _places(green >= 256 << 4)
         jump[special] = after[special]
-        copies = special[green[special] < 256 + LENGTH_CODES]
-        then = after[copies] + _extra(green[copies] - 256)[0]
-        far, bits_of = look(codes[4], then)
-        jump[copies] = then + bits_of + _extra(far)[0]
-    begins, where, step = [], 0, memoryview(np.ascontiguousarray(jump, np.int32))
-    for _ in range(total):
+        if codes[0].symbols.max() < 256 + LENGTH_CODES:
+            copies = special
+        else:
+            copies = special[green[special] < 256 + LENGTH_CODES << 4]
+        then = after[copies] + EXTRA_OF[(green[copies] >> 4) - 256]
+        far = look(codes[4], then)
+        jump[copies] = then + (far & 15) + EXTRA_OF[far >> 4]
+    # Four beginnings a step; n + 1 stands for all that lies past the end.
+    jump = np.append(np.minimum(jump, n + 1), n + 1)
+    twice = jump.take(jump, mode="wrap")
+    begins, where, step = [], 0, memoryview(twice.take(twice, mode="wrap"))
+    for _ in range(-(-total // 4)):
         if where > n:
             break
         begins.append(where)
         where = step[where]
-    begins = np.array(begins, np.int64)
-    symbol = green[begins]
+    quads = np.empty((len(begins), 4), np.int64)
+    quads[:, 0] = begins
+    quads[:, 2] = twice[quads[:, 0]]
+    quads[:, 1::2] = jump[quads[:, ::2]]
+    begins = quads.ravel()[:total]
+    begins = begins[begins <= n]
+    symbol = green[begins] >> 4
     copy, run = (symbol > 255) & (symbol < 256 + LENGTH_CODES), np.ones(len(begins), np.int64)
     if copy.any():
         if (symbol >= 256 + LENGTH_CODES).any():
             return None
-        bits_of, least = _extra(symbol[copy].astype(np.int64) - 256)
-        run[copy] = least + (ahead[after[begins[copy]]] & (1 << bits_of) - 1)
+        code = symbol[copy] - 256
+        run[copy] = LEAST_OF[code] + (ahead[after[begins[copy]]] & (1 << EXTRA_OF[code]) - 1)
     ends = np.cumsum(run)
     count = int(np.searchsorted(ends, total)) + 1
     if count > len(ends) or ends[count - 1] != total or jump[begins[count - 1]] > n:
@@ -283,21 +314,22 @@ def _read_at_once(bits: Bits, codes: list[PrefixCode], cache_bits: int, width: i
     begins, symbol, copy, run, starts = begins[:count], symbol[:count], copy[:count], run[:count], (ends - run)[:count]
     bits.at += int(jump[begins[-1]])
     literal = symbol < 256
-    place, parts = after[begins[literal]], [symbol[literal]]
-    for code in codes[1:4]:
-        value, size = look(code, place)
-        parts.append(value)
-        place = place + size
-    colours = np.stack(parts, axis=1).astype(np.uint8)
+    place = after[begins[literal]]
+    colours = np.empty((len(place), 4), np.uint8)
+    colours[:, 0] = symbol[literal]
+    for channel, code in enumerate(codes[1:4], 1):
+        found = look(code, place)
+        colours[:, channel] = found >> 4
+        place = place + (found & 15)
     if literal.all():
         return colours
     out = np.zeros((total, 4), np.uint8)
     out[starts[literal]] = colours
     if copy.any():
-        place = after[begins[copy]] + _extra(symbol[copy] - 256)[0]
-        far, size = look(codes[4], place)
-        bits_of, least = _extra(far.astype(np.int64))
-        far = least + (ahead[place + size] & (1 << bits_of) - 1)
+        place = after[begins[copy]] + EXTRA_OF[symbol[copy] - 256]
+        far = look(codes[4], place)
+        place, far = place + (far & 15), far >> 4
+        far = LEAST_OF[far] + (ahead[place] & (1 << EXTRA_OF[far]) - 1)
         for s, length, d in zip(starts[copy].tolist(), run[copy].tolist(), far.tolist(), strict=True):
             d = d - 120 if d > 120 else max(1, NEAR[d - 1][0] + NEAR[d - 1][1] * width)
             if d > s:
@@ -308,7 +340,7 @@ def _read_at_once(bits: Bits, codes: list[PrefixCode], cache_bits: int, width: i
             raise WebPError("no colour cache")
         keys = _cache_keys(_argb(colours), cache_bits).astype(np.int64) * total + starts[literal]
         order = np.argsort(keys)
-        asked = (symbol[~literal].astype(np.int64) - 256 - LENGTH_CODES) * total + starts[~literal]
+        asked = (symbol[~literal] - 256 - LENGTH_CODES) * total + starts[~literal]
         found = np.searchsorted(keys[order], asked) - 1
         hit = (found >= 0) & (keys[order][found] // total == asked // total)  # an entry that nothing was put in is 0
         out[starts[~literal][hit]] = colours[order[found[hit]]]
@@ -532,8 +564,15 @@ class BitWriter:
         values = np.concatenate([np.asarray(v, np.int64) for v, _ in self.parts])
         sizes = np.concatenate([np.asarray(n, np.int64) for _, n in self.parts])
         ends = np.cumsum(sizes)
-        place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-        return np.packbits((np.repeat(values, sizes) >> place & 1).astype(np.uint8), bitorder="little").tobytes()
+        starts = ends - sizes
+        # Fields that begin in the same four bytes are added up, which reach into the next four.
+        word, fields = starts >> 5, values.astype(np.uint64) << (starts & 31).astype(np.uint64)
+        firsts = _places(np.append(True, word[1:] != word[:-1]))
+        sums = np.add.reduceat(fields, firsts)
+        out = np.zeros(int(word[-1]) + 2, np.uint64)
+        out[word[firsts]] = sums & np.uint64(0xFFFFFFFF)
+        out[word[firsts] + 1] += sums >> np.uint64(32)
+        return out.astype("<u4").tobytes()[: int(ends[-1]) + 7 >> 3]
 
 
 def code_lengths(counts: list[int], limit: int) -> list[int]:
@@ -541,17 +580,22 @@ def code_lengths(counts: list[int], limit: int) -> list[int]:
     n = len(counts)
     while True:
         order = sorted(range(n), key=counts.__getitem__)
-        weight, above, leaf, inner = [counts[i] for i in order], [0] * (2 * n - 1), 0, n
-        for new in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):  # the lightest of the next leaf and the next inner node
-                if leaf < n and (inner >= new or weight[leaf] <= weight[inner]):
-                    k, leaf = leaf, leaf + 1
-                else:
-                    k, inner = inner, inner + 1
-                total += weight[k]
-                above[k] = new
-            weight.append(total)
+        none = sum(counts) + 1
+        leaves, inner, above, leaf, node = [counts[i] for i in order] + [none, none], [none] * (n + 1), [0] * (2 * n - 1), 0, 0
+        for new in range(n - 1):  # the two lightest of the next leaves and the next inner nodes
+            if leaves[leaf] <= inner[node]:
+                weight, above[leaf] = leaves[leaf], n + new
+                leaf += 1
+            else:
+                weight, above[n + node] = inner[node], n + new
+                node += 1
+            if leaves[leaf] <= inner[node]:
+                weight, above[leaf] = weight + leaves[leaf], n + new
+                leaf += 1
+            else:
+                weight, above[n + node] = weight + inner[node], n + new
+                node += 1
+            inner[new] = weight
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[above[k]] + 1
@@ -565,11 +609,12 @@ def code_lengths(counts: list[int], limit: int) -> list[int]:
 
 def canonical(symbols: np.ndarray, sizes: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
     """Code, as it is read, and bits of every symbol."""
-    order = np.lexsort((symbols, sizes))
-    depth = int(sizes.max())
-    steps = 1 << (depth - sizes[order])
+    order = sizes.argsort(kind="stable")  # the symbols come in their order
+    ranked = sizes[order]
+    depth = int(ranked[-1])
+    steps = POWERS[depth - ranked]
     codes, lengths = np.zeros(alphabet, np.int64), np.zeros(alphabet, np.int64)
-    codes[symbols[order]] = _mirrored(depth)[np.cumsum(steps) - steps]
+    codes[symbols[order]] = _mirrored(depth)[steps.cumsum() - steps]
     lengths[symbols] = sizes
     return codes, lengths
 
@@ -580,7 +625,7 @@ EXTRA_BITS = np.array([0] * 16 + [2, 3, 7])
 
 def _put_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A prefix code for the counts of an alphabet's symbols; gives back code and bits of each symbol."""
-    alphabet, used = len(counts), np.flatnonzero(counts)
+    alphabet, used = len(counts), _places(counts)
     if len(used) <= 1:
         symbol = int(used[0]) if len(used) else 0
         if symbol < 256:
@@ -596,11 +641,16 @@ def _put_code(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return codes, lengths
     out.put(0, 1)
     # Runs of equal lengths: 17 and 18 for zeros, 16 for the last length again.
-    breaks = np.flatnonzero(np.diff(lengths)) + 1
-    runs = np.diff(np.concatenate([[0], breaks, [alphabet]])).tolist()
+    breaks = (lengths[1:] != lengths[:-1]).nonzero()[0]  # the last place of each run but the last
+    ends = [*breaks.tolist(), alphabet - 1]
+    runs = map(int.__sub__, ends, [-1, *ends])
     tokens: list[int] = []  # token, and from bit 5 on its extra value
     seen = [0] * 19
-    for value, run in zip(lengths[np.append(0, breaks)].tolist(), runs, strict=True):
+    for value, run in zip(lengths[ends].tolist(), runs, strict=True):
+        if run == 1:
+            seen[value] += 1
+            tokens.append(value)
+            continue
         if value:
             seen[value] += 1
             tokens.append(value)
@@ -653,14 +703,14 @@ def back_references(pixels: np.ndarray) -> list[tuple[int, int, int]]:
     before = np.full(len(keys), -1)
     before[order[1:][again]] = order[:-1][again]
     out, at = [], 0
-    places = np.flatnonzero(before >= 0)
+    places = _places(before >= 0)
     for start, source in zip(places.tolist(), before[places].tolist(), strict=True):
         if start < at:
             continue
         size = 64
         while True:  # few copies are long
             size = min(size, MOST_COPY, len(pixels) - start)
-            other = np.flatnonzero(pixels[start : start + size] != pixels[source : source + size])
+            other = _places(pixels[start : start + size] != pixels[source : source + size])
             if len(other) or size in (MOST_COPY, len(pixels) - start):
                 break
             size *= 8
@@ -673,6 +723,22 @@ def back_references(pixels: np.ndarray) -> list[tuple[int, int, int]]:
 
 def _prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code, extra value and extra bits of lengths or distances from 1 on."""
+    if values.max(initial=0) < PREFIXED:
+        code, extra, bits = _prefix_table()
+        return code[values], extra[values], bits[values]
+    return _prefix_by_size(values)
+
+
+#: Lengths and distances whose codes are looked up.
+PREFIXED = 1 << 13
+
+
+@functools.cache
+def _prefix_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _prefix_by_size(np.maximum(1, np.arange(PREFIXED)))
+
+
+def _prefix_by_size(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     v = values - 1
     top = np.frexp(np.maximum(v, 1).astype(float))[1] - 1
     bits = np.where(v < 4, 0, top - 1)
@@ -709,7 +775,9 @@ class Tokens:
         self.cache_bits, self.extra = cache_bits, None
         # All codes but that of distances as one alphabet: green, red, blue, alpha, and a symbol of no bits.
         self.greens = 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0)
-        self.symbols = samples + np.array([0, self.greens, self.greens + 256, self.greens + 512])
+        self.symbols = samples.astype(np.int64)
+        for channel in range(1, 4):
+            self.symbols[:, channel] += self.greens + 256 * (channel - 1)
         far = np.empty(0, np.int64)
         self.kind = np.zeros(n, np.int8)
         if copies:
@@ -736,7 +804,7 @@ class Tokens:
         distances = np.bincount(far, minlength=DISTANCE_CODES)
         self.counts = [counts[: self.greens], *counts[self.greens :].reshape(3, 256), distances]
         tokens, literals = len(self.symbols), int(np.count_nonzero(self.kind == 0)) if len(copies) or cache_bits else len(self.symbols)
-        self.cost = _entropy(counts, [tokens, *[literals] * 3]) + _entropy(distances, [len(far)])
+        self.cost = _entropy(counts, [tokens, *[literals] * 3]) + (_entropy(distances, [len(far)]) if len(far) else 0.0)
         if self.extra:
             self.cost += int(self.extra[1].sum() + self.extra[4].sum())
 
@@ -763,7 +831,7 @@ class Tokens:
         sizes = np.concatenate([*(n for _, n in codes), nothing])[self.symbols]
         if self.extra:
             extra, bits, code, more, many = self.extra
-            at = np.flatnonzero(self.kind == 1)
+            at = _places(self.kind == 1)
             values[at, 1:] = np.stack([extra, far_codes[code], more], axis=1)
             sizes[at, 1:] = np.stack([bits, far_bits[code], many], axis=1)
         out.put_all(values.ravel(), sizes.ravel())

@@ -196,3 +196,31 @@ def test_every_path_of_the_writer_is_read_back(sf, monkeypatch):
         payload = webp.padded(raw)
         assert webp.decode_all(webp.encode(payload))[1].tobytes() == payload
     assert took["uneven"] > 0.9 * len(texts) and took["copies"] > 20 and all(took[k] > 0 for k in ("cache", "predictor", "palette", "loop")), took
+
+
+def test_reading_follows_no_bit_twice(monkeypatch):
+    """Fields are packed by words, and an image's beginnings are followed four at a step: the bytes and pixels stay those of the plain way."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 19, 500)
+    values = rng.integers(0, 1 << 19, 500) & (1 << sizes) - 1
+    out = webp.BitWriter()
+    out.put_all(values, sizes)
+    whole, at = 0, 0
+    for v, n in zip(values.tolist(), sizes.tolist(), strict=True):
+        whole |= v << at
+        at += n
+    assert out.finish() == whole.to_bytes(at + 7 >> 3, "little")
+    steps, real = [], memoryview
+
+    class Counted:
+        def __init__(self, x):
+            self.x = real(x)
+
+        def __getitem__(self, k):
+            steps.append(k)
+            return self.x[k]
+
+    monkeypatch.setattr(webp, "memoryview", Counted, raising=False)
+    payload = webp.padded(bytes(rng.integers(97, 123, 4096).tolist()))
+    assert webp.decode_all(webp.encode(payload))[1].tobytes() == payload
+    assert len(steps) <= len(payload) // 4 // 4 + 1
