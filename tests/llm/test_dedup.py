@@ -5,7 +5,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -478,6 +480,39 @@ def test_no_member_of_a_group_goes_uncompared(spark):
     assert not any(a < 10 or b < 10 for a, b in got)
 
 
+def test_a_repeated_word_alone_holds_no_windows_together(spark):
+    """Runs of one word, too short on one side for a passage, made clusters of which no pair was ever verified."""
+    rows = [(k, " ".join([f"a{k}"] * 60 + ["of"] * 20 + [f"b{k}"] * 60)) for k in range(12)] + [(12, " ".join(["start"] + ["of"] * 60 + ["end"]))]
+    assert substring_dedup.clusters(docs(spark, rows), 5, 46, 80).count() == 0
+    # Two long runs are passages of each other.
+    rows.append((13, " ".join(["from"] + ["of"] * 55 + ["to"])))
+    assert [(r["doc_id"], r["source_doc_id"]) for r in substring_dedup.passages(docs(spark, rows)).collect()] == [(13, 12)]
+
+
+def test_words_by_arrays_are_those_of_the_pattern():
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abAB \u00e9\u00c9\u6f22\t\n\x0b\x85\xa0\U0001f600") for _ in range(rnd.randrange(40))) for _ in range(500)] + ["", " ", "x" * 50_000, "Long text " * 9_000]
+    data, bounds = substring_dedup._flat(pa.array(["left out", *texts])[1:], np.uint8)
+    starts, ends, hashes = substring_dedup._words(data, bounds)
+    want = [w.encode() for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
+    assert [data[s:e].tobytes() for s, e in zip(starts, ends, strict=True)] == want
+    lowered = [w.lower() for w in want]
+    assert len(set(lowered)) == len(set(hashes.tolist())) == len(set(zip(lowered, hashes.tolist(), strict=True)))
+
+
+def test_components_go_on_from_known_ones(spark):
+    rnd = random.Random(8)
+    links = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(500 + k, 501 + k) for k in range(20)]
+    want = {}
+    for a, b in links:
+        if a != b:
+            both = want.get(a, {a}) | want.get(b, {b})
+            want.update(dict.fromkeys(both, both))
+    frame = lambda x: spark.createDataFrame(x, "a long, b long").coalesce(1)
+    got = components.components(frame(links[20:]), components.components(frame(links[:20])))
+    assert {r["node"]: r["component"] for r in got.collect()} == {k: min(v) for k, v in want.items()}
+
+
 # --- the registered queries against their SQL ---------------------------------------
 
 
