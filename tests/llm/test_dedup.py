@@ -489,6 +489,28 @@ def test_a_repeated_word_alone_holds_no_windows_together(spark):
     assert [(r["doc_id"], r["source_doc_id"]) for r in substring_dedup.passages(docs(spark, rows)).collect()] == [(13, 12)]
 
 
+def test_runs_of_a_repeated_word_with_other_neighbours_are_no_cluster(spark):
+    """A run one word too short and a longer one shared one shingle and 41 matches: every pair of such a cluster was laid out, none verified."""
+    rows = [(k, " ".join([f"a{k}"] * 45 + ["of"] * (45 if k % 2 else 47) + [f"b{k}"] * 45)) for k in range(12)]
+    assert substring_dedup.clusters(docs(spark, rows), 5, 46, 80).count() == 0
+    # Among runs of other words that both have, it is one of the shared shingles.
+    rows = [(k, " ".join([f"a{k}"] * 30 + ["at"] * 20 + ["of"] * (20 + k) + ["to"] * 20 + [f"b{k}"] * 30)) for k in (0, 2)]
+    assert [(r["doc_id"], r["source_doc_id"]) for r in substring_dedup.passages(docs(spark, rows)).collect()] == [(2, 0)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_kinds_of_shingles_in_each_run_by_counting(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(0, 40, 6)
+    flat, bounds = rng.integers(0, 9, sizes.sum()), np.append(0, np.cumsum(sizes))
+    m = substring_dedup._Members(*[np.arange(6)] * 3, flat, bounds, 8, 80)
+    inside = np.isin(flat, rng.integers(0, 9, 6))
+    runs = [(set(flat[s : s + 8].tolist()), set(flat[s : s + 8][inside[s : s + 8]].tolist())) for s in m.starts]
+    assert m.alike(inside).tolist() == [100 * len(found) >= 80 * len(kinds) for kinds, found in runs]
+
+
 def test_words_by_arrays_are_those_of_the_pattern():
     rnd = random.Random(3)
     texts = ["".join(rnd.choice("abAB \u00e9\u00c9\u6f22\t\n\x0b\x85\xa0\U0001f600") for _ in range(rnd.randrange(40))) for _ in range(500)] + ["", " ", "x" * 50_000, "Long text " * 9_000]
