@@ -124,6 +124,11 @@ class Coder(dict):
             self[piece] = found
         return found
 
+    def forget(self) -> None:
+        """Drops the memory, not the tables."""
+        self.clear()
+        self.older = {}
+
     def merge(self, raw: bytes) -> tuple[int, ...]:
         """Ids of a pre-token that is no token."""
         n, ranks = len(raw), self.ranks
@@ -254,7 +259,11 @@ CHECKED = "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string"
 
 
 def encode_checked(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, n_tokens, ids and the digest of what they decode to, of every row of docs."""
+    """doc_id, n_tokens, ids and the digest of what they decode to, of every row of docs.
+
+    A task's end drops what its coder remembers: this is one stage of a pipeline, and a worker that keeps
+    it holds it through the others too.
+    """
     name, shared = vocabulary.name, vocabulary.shared
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,5 +274,6 @@ def encode_checked(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids))))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(decoded, pa.string())], [f.split()[0] for f in CHECKED.split(", ")])
+        coder.forget()
 
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(work, CHECKED)

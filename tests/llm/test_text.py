@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -76,6 +77,17 @@ def test_bpe_tables(spark, encoding):
 # --- mixing -------------------------------------------------------------------------
 
 
+def test_a_worker_keeps_no_pieces_after_the_pipelines_stage(spark):
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert bpe.encode_checked(docs(spark, [(k, f"some text {k}", "a") for k in range(20)]).repartition(4), vocabulary).count() == 20
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"held": [sum(len(c) + len(c.older) for c in bpe._CODERS.values())] * batch.num_rows})
+
+    assert {r["held"] for r in spark.range(20).repartition(4).mapInArrow(held, "held long").collect()} == {0}
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_knapsack_against_all_subsets(seed):
     rnd = random.Random(seed)
