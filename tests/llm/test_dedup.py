@@ -544,3 +544,23 @@ def test_query_matches_sql(spark, sf, duck, name):
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     pd.testing.assert_frame_equal(got[columns].sort_values("doc_id").reset_index(drop=True), want[columns].sort_values("doc_id").reset_index(drop=True), check_dtype=False)
+
+
+def test_a_slice_of_pairs_is_hashed_at_once(monkeypatch):
+    """Verifying hashed each text by itself, which took more than laying out most pairs."""
+    shared = " ".join(f"s{k}" for k in range(60))
+    rows = [{"doc_id": k, "source_doc_id": 0, "aligned": [{"x": 4 + 20, "y": 20}], "text": f"ä{k} b c d {shared}", "source_text": shared} for k in range(1, 9)]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("source_doc_id", pa.int64()), ("aligned", pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))), ("text", pa.string()), ("source_text", pa.string())]))
+
+    class Pairs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, work, _):
+            return [r for out in work(iter([batch])) for r in out.to_pylist()]
+
+    calls, words = [], substring_dedup._words
+    monkeypatch.setattr(substring_dedup, "_words", lambda *args: calls.append(1) or words(*args))
+    found = substring_dedup._verify(Pairs(), 5, 46, 80)
+    assert len(calls) == 1
+    assert [(r["doc_id"], r["start_word"], r["end_word"], r["source_start_word"], r["start_char"]) for r in found] == [(k, 4, 64, 0, 9) for k in range(1, 9)]
